@@ -1,4 +1,4 @@
-"""Problems 3 and others on statements, over whole tables."""
+"""Problems on statements, over whole tables."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataql.llm.copies import copy_classes, copy_members
+from strataql.llm.validity import file_validity, rates
 from strataql.sources.tables import table
 
 
@@ -20,6 +21,20 @@ def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("keep_id", "n_copies", F.sha2("form", 256).alias("form_sha"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes}
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    return file_validity(table(spark, folder, "statements"), table(spark, folder, "schemas"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file with at least one statement that is not valid in its repository's language."""
+    return _files(spark, folder).filter("n_bad > 0").select(F.col("repo").alias("repo_id"), "file")
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Files, bad files and the rate of bad files by repository and language."""
+    return rates(_files(spark, folder)).withColumnRenamed("repo", "repo_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_classes": p3_classes}
 
 SQL: dict[str, str] = {}
