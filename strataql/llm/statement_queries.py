@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataql.llm.copies import copy_classes, copy_members
+from strataql.llm.secrets import redacted, secrets
 from strataql.llm.validity import file_validity, rates
 from strataql.sources.tables import table
 
@@ -35,6 +36,30 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return rates(_files(spark, folder)).withColumnRenamed("repo", "repo_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_classes": p3_classes}
+#: The two places in which secrets are looked for: table, id column, text column.
+PLACES = (("statements", "stmt_id", "raw"), ("issues", "issue_id", "snippet"))
+
+
+def _in_places(spark: SparkSession, folder: str, operator) -> DataFrame:
+    first, second = (operator(table(spark, folder, t), i, c).select(F.lit(t).alias("place"), F.col("id").alias("row_id"), "*").drop("id") for t, i, c in PLACES)
+    return first.unionByName(second)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every statement and every finding that holds a secret; a finding delivered twice counts once."""
+    return _in_places(spark, folder, secrets).select("place", "row_id").distinct()
+
+
+def p4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """The list of secrets by kind and position; the secrets themselves are not repeated."""
+    return _in_places(spark, folder, secrets).distinct()
+
+
+def p4_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """All statements and findings with only their secrets masked."""
+    return _in_places(spark, folder, redacted)
+
+
+QUERIES = {"p4_found": p4_found, "p4_secrets": p4_secrets, "p4_redacted": p4_redacted, "p2_found": p2_found, "p2_rates": p2_rates, "p3_found": p3_found, "p3_classes": p3_classes}
 
 SQL: dict[str, str] = {}
