@@ -63,7 +63,8 @@ def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(arrays) > HELD_BLOCKS:
             yield _send(arrays)
             arrays = {}
-    yield _send(arrays)
+    if arrays:
+        yield _send(arrays)
 
 
 def _sum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +73,8 @@ def _sum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b, counts in zip(pdf["block"], pdf["counts"]):
             counts = np.asarray(counts)
             arrays[b] = arrays[b] + counts if b in arrays else counts
-    yield _send(arrays)
+    if arrays:
+        yield _send(arrays)
 
 
 def _send(arrays: dict[int, np.ndarray]) -> pd.DataFrame:

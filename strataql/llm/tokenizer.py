@@ -259,46 +259,49 @@ class _Ids(dict):
             self[word] = self.lexicon.ids_of(number) if number >= 0 else merge(word, self.path)
 
 
-def _encoder(name: str, path: str):
-    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+def _encoder(name: str, path: str, keep: list[str]):
+    def lists(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[int]]]]:
         ids = _Ids(_mapped(SparkFiles.get(name)), path)
         for pdf in batches:
-            cuts = [cut(t) if t else [] for t in pdf["text"]]
-            for at in range(0, len(cuts), 256):
-                part = cuts[at : at + 256]
-                ids.learn({w for words in part for w in words})
-                yield pdf["id"].iloc[at : at + 256], [[i for w in words for i in ids[w]] for words in part]
+            for at in range(0, len(pdf), 256):  # so that the lists of one batch stay small
+                part = pdf.iloc[at : at + 256]
+                words = [cut(t) if t else [] for t in part["text"]]
+                ids.learn({w for ws in words for w in ws})
+                yield part[["id", *keep]].copy(), [[i for w in ws for i in ids[w]] for ws in words]
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for keys, found in lists(batches):
-            yield pd.DataFrame({"id": keys.to_numpy(), "ids": found})
+        for part, found in lists(batches):
+            part["ids"] = found
+            yield part
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for keys, found in lists(batches):
-            yield pd.DataFrame({"id": keys.to_numpy(), "n_tokens": [len(x) for x in found]})
+        for part, found in lists(batches):
+            part["n_tokens"] = [len(x) for x in found]
+            yield part
 
     return encode, count
 
 
-def _prepared(df: DataFrame, id_col: str, text_col: str, path: str, size: int) -> tuple[DataFrame, str]:
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts, _ship(df.sparkSession, build_lexicon(texts, path, size))
+def _run(df: DataFrame, id_col: str, text_col: str, keep: list[str], folder: str | None, vocabulary: str, size: int, which: int, result: str) -> DataFrame:
+    path = os.path.join(folder or tokenizer_folder(), vocabulary)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
+    name = _ship(df.sparkSession, build_lexicon(texts, path, size))
+    kept = [f"kept_{k}" for k in range(len(keep))]
+    types = ["id long", *[f"{k} {df.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep)], result]
+    out = texts.mapInPandas(_encoder(name, path, kept)[which], ", ".join(types))
+    return out.toDF("id", *keep, out.columns[-1])
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, folder: str | None = None, vocabulary: str = "byte_bpe_50k.tiktoken", size: int = LEXICON_WORDS) -> DataFrame:
-    """id and ids (a list of ints) of every row, without special tokens.
+def encode(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), folder: str | None = None, vocabulary: str = "byte_bpe_50k.tiktoken", size: int = LEXICON_WORDS) -> DataFrame:
+    """id, the kept columns and ids (a list of ints) of every row, without special tokens.
 
     Null and empty texts give an empty list; what looks like a special token is ordinary text; texts
-    are taken whole; repeated rows come out each; an empty table gives an empty result; further
-    columns are ignored.
+    are taken whole; repeated rows come out each; an empty table gives an empty result; columns that
+    aren't kept are ignored.
     """
-    path = os.path.join(folder or tokenizer_folder(), vocabulary)
-    texts, name = _prepared(df, id_col, text_col, path, size)
-    return texts.mapInPandas(_encoder(name, path)[0], "id long, ids array<int>")
+    return _run(df, id_col, text_col, list(keep), folder, vocabulary, size, 0, "ids array<int>")
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, folder: str | None = None, vocabulary: str = "byte_bpe_50k.tiktoken", size: int = LEXICON_WORDS) -> DataFrame:
-    """id and n_tokens, the length of the list that encode gives, of every row."""
-    path = os.path.join(folder or tokenizer_folder(), vocabulary)
-    texts, name = _prepared(df, id_col, text_col, path, size)
-    return texts.mapInPandas(_encoder(name, path)[1], "id long, n_tokens long")
+def token_counts(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), folder: str | None = None, vocabulary: str = "byte_bpe_50k.tiktoken", size: int = LEXICON_WORDS) -> DataFrame:
+    """id, the kept columns and n_tokens, the length of the list that encode gives, of every row."""
+    return _run(df, id_col, text_col, list(keep), folder, vocabulary, size, 1, "n_tokens long")
