@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from strataql.plans import views
+from strataql.plans import rules, views
 
-MODULES = [views]
+MODULES = [rules, views]
 
-FLAGSHIP = "p1_found"
+FLAGSHIP = "findings_by_dimension"
 
 
 def queries() -> dict:
