@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataql.plans import rules, views
+from strataql.plans import issues, rules, views
 
-MODULES = [rules, views]
+MODULES = [rules, issues, views]
 
 FLAGSHIP = "findings_by_dimension"
 
