@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataql.plans import issues, rules, views
+from strataql.plans import issues, project, rules, views
 
-MODULES = [rules, issues, views]
+MODULES = [rules, issues, project, views]
 
 FLAGSHIP = "findings_by_dimension"
 
