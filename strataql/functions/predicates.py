@@ -13,9 +13,9 @@ def sql_text(text: str) -> str:
 
 
 class Pred:
-    """A condition over `raw`, its upper case `raw_upper` and `query_type`."""
+    """A condition over `raw`, its upper case, which the caller tells once, and `query_type`."""
 
-    def column(self) -> Column:
+    def column(self, upper: Column) -> Column:
         raise NotImplementedError
 
     def sql(self) -> str:
@@ -36,8 +36,8 @@ class _Both(Pred):
     a: Pred
     b: Pred
 
-    def column(self) -> Column:
-        return self.a.column() & self.b.column()
+    def column(self, upper: Column) -> Column:
+        return self.a.column(upper) & self.b.column(upper)
 
     def sql(self) -> str:
         return f"({self.a.sql()} AND {self.b.sql()})"
@@ -48,8 +48,8 @@ class _Either(Pred):
     a: Pred
     b: Pred
 
-    def column(self) -> Column:
-        return self.a.column() | self.b.column()
+    def column(self, upper: Column) -> Column:
+        return self.a.column(upper) | self.b.column(upper)
 
     def sql(self) -> str:
         return f"({self.a.sql()} OR {self.b.sql()})"
@@ -59,8 +59,8 @@ class _Either(Pred):
 class _Not(Pred):
     a: Pred
 
-    def column(self) -> Column:
-        return ~self.a.column()
+    def column(self, upper: Column) -> Column:
+        return ~self.a.column(upper)
 
     def sql(self) -> str:
         return f"(NOT {self.a.sql()})"
@@ -75,10 +75,10 @@ class has(Pred):
     def __init__(self, *words: str) -> None:
         object.__setattr__(self, "words", words)
 
-    def column(self) -> Column:
-        out = F.col("raw_upper").contains(self.words[0])
+    def column(self, upper: Column) -> Column:
+        out = upper.contains(self.words[0])
         for w in self.words[1:]:
-            out = out | F.col("raw_upper").contains(w)
+            out = out | upper.contains(w)
         return out
 
     def sql(self) -> str:
@@ -91,7 +91,7 @@ class matches(Pred):
 
     pattern: str
 
-    def column(self) -> Column:
+    def column(self, upper: Column) -> Column:
         return F.col("raw").rlike("(?i)" + self.pattern)
 
     def sql(self) -> str:
@@ -109,7 +109,7 @@ class counted(Pred):
         object.__setattr__(self, "n", n)
         object.__setattr__(self, "patterns", patterns)
 
-    def column(self) -> Column:
+    def column(self, upper: Column) -> Column:
         out = F.regexp_count("raw", F.lit(self.patterns[0]))
         for p in self.patterns[1:]:
             out = out + F.regexp_count("raw", F.lit(p))
@@ -126,7 +126,7 @@ class typed(Pred):
     types: tuple[str, ...]
     or_unknown: bool = True
 
-    def column(self) -> Column:
+    def column(self, upper: Column) -> Column:
         return F.coalesce(F.upper("query_type").isin(*self.types), F.lit(self.or_unknown))
 
     def sql(self) -> str:

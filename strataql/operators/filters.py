@@ -50,7 +50,11 @@ def source_context_sql(path: str, content: str) -> str:
 
 
 def counts_in_context(context: Column, rule_id: Column) -> Column:
-    """Whether a rule's findings count in a context."""
+    """Whether a rule's findings count in a context; the context, costly to tell, is told once."""
+    return F.exists(F.array(context), lambda c: _counts(c, rule_id))
+
+
+def _counts(context: Column, rule_id: Column) -> Column:
     ok = F.lit(True)
     for c, prefixes in ALLOWED_IN.items():
         allowed = F.lit(False)

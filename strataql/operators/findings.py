@@ -6,7 +6,7 @@ single explode, so that neither the plan nor the data grows with rules times sta
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,16 +16,17 @@ from strataql.functions.predicates import Pred
 from strataql.rules.node_rules import FRAME_RULES, statement_rules
 from strataql.rules.spec import SEVERITY_WEIGHT, Rule
 from strataql.rules.text_rules import CONDITIONS
+from strataql.session import spread
 
 #: Patterns of one projection; more go into further arrays of the same pass.
 CHUNK = 40
 
 
 def prepare(statements: DataFrame, text: str = "raw", dialect: str = "dialect") -> DataFrame:
-    """Statements with `raw`, its upper case, the canonical dialect and a known query type; null texts are dropped."""
+    """Statements with `raw`, the canonical dialect and a known query type; null texts are dropped."""
     out = statements.withColumnRenamed(text, "raw") if text != "raw" else statements
     types = F.upper("query_type") if "query_type" in statements.columns else F.lit(None).cast("string")
-    return out.filter("raw IS NOT NULL").withColumns({"raw_upper": F.upper("raw"), "norm_dialect": canonical_dialect(F.col(dialect)), "query_type": types})
+    return spread(out.filter("raw IS NOT NULL")).withColumns({"norm_dialect": canonical_dialect(F.col(dialect)), "query_type": types})
 
 
 def _rule_map(rules: Iterable[Rule], value) -> Column:
@@ -45,6 +46,28 @@ def with_rule_columns(found: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+def may_match(rule: Rule, upper: Column) -> Column:
+    """The dialect gate, then the words that any match must hold: cheap tests in front of the pattern."""
+    may = gate(F.col("norm_dialect"), rule.dialect_list)
+    for words in rule.needed:
+        held = upper.contains(words[0])
+        for word in words[1:]:
+            held = held | upper.contains(word)
+        may = may & held
+    return may
+
+
+def _hits(rules: list[Rule], upper: Column) -> Column:
+    """An array of (rule_id, snippets) for the rules that match."""
+    hits = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.when(may_match(r, upper), F.regexp_extract_all("raw", F.lit(r.java_pattern), F.lit(0))).alias("snippets")) for r in rules]
+    return F.filter(F.array(*hits), lambda h: F.coalesce(F.size(h["snippets"]) > 0, F.lit(False)))
+
+
+def with_upper(build) -> Column:
+    """build(upper), with the text's upper case told once for all its uses."""
+    return F.transform(F.array(F.upper("raw")), build)[0]
+
+
 def pattern_findings(prepared: DataFrame, rules: list[Rule], carry: list[str]) -> DataFrame:
     """One row for every match of every pattern: carried columns, rule_id, ordinal, snippet.
 
@@ -54,33 +77,34 @@ def pattern_findings(prepared: DataFrame, rules: list[Rule], carry: list[str]) -
     """
     if not rules:
         return prepared.select(*carry).limit(0).withColumns({"rule_id": F.lit(""), "ordinal": F.lit(0), "snippet": F.lit("")})
-    arrays = []
-    for at in range(0, len(rules), CHUNK):
-        hits = [
-            F.struct(F.lit(r.rule_id).alias("rule_id"), F.when(gate(F.col("norm_dialect"), r.dialect_list), F.regexp_extract_all("raw", F.lit(r.java_pattern), F.lit(0))).alias("snippets"))
-            for r in rules[at : at + CHUNK]
-        ]
-        arrays.append(F.filter(F.array(*hits), lambda h: F.coalesce(F.size(h["snippets"]) > 0, F.lit(False))))
-    every = prepared.select(*carry, (F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("hits"))
+    chunks = [rules[at : at + CHUNK] for at in range(0, len(rules), CHUNK)]
+    every = prepared.select(*carry, with_upper(lambda u: F.concat(*[_hits(c, u) for c in chunks]) if len(chunks) > 1 else _hits(chunks[0], u)).alias("hits"))
     one = every.filter(F.size("hits") > 0).select(*carry, F.explode("hits").alias("hit"))
     return one.select(*carry, F.col("hit.rule_id").alias("rule_id"), F.posexplode("hit.snippets").alias("ordinal", "snippet"))
 
 
-def firing(prepared: DataFrame, conditions: dict[str, Column], carry: list[str]) -> DataFrame:
-    """One row for every statement and condition that holds: carried columns, rule_id."""
+def firing(prepared: DataFrame, conditions: dict[str, Callable[[Column], Column]], carry: list[str]) -> DataFrame:
+    """One row for every statement and condition that holds: carried columns, rule_id.
+
+    A condition is a function from the text's upper case to a Column.
+    """
     if not conditions:
         return prepared.select(*carry).limit(0).withColumn("rule_id", F.lit(""))
-    names = [F.when(c, F.lit(rule_id)) for rule_id, c in conditions.items()]
-    return prepared.select(*carry, F.explode(F.array_compact(F.array(*names))).alias("rule_id"))
+    names = with_upper(lambda u: F.array_compact(F.array(*[F.when(c(u), F.lit(rule_id)) for rule_id, c in conditions.items()])))
+    return prepared.select(*carry, F.explode(names).alias("rule_id"))
 
 
 def text_findings(prepared: DataFrame, rules: list[Rule], carry: list[str], extra: dict[str, Pred] | None = None) -> DataFrame:
     """One row for every statement on which a text condition holds."""
-    wanted = {r.rule_id: gate(F.col("norm_dialect"), r.dialect_list) & CONDITIONS[r.rule_id].column() for r in rules if r.rule_id in CONDITIONS}
-    wanted |= {rule_id: pred.column() for rule_id, pred in (extra or {}).items()}
+    wanted = {r.rule_id: _gated(r, CONDITIONS[r.rule_id]) for r in rules if r.rule_id in CONDITIONS}
+    wanted |= {rule_id: pred.column for rule_id, pred in (extra or {}).items()}
     return firing(prepared, wanted, carry)
 
 
+def _gated(rule: Rule, pred: Pred) -> Callable[[Column], Column]:
+    return lambda upper: gate(F.col("norm_dialect"), rule.dialect_list) & pred.column(upper)
+
+
 def _held(condition) -> Column:
     """The number of frames that meet a condition; an unknown outcome doesn't."""
     return F.size(F.filter("frames", lambda f: F.coalesce(condition(f), F.lit(False))))
@@ -91,8 +115,7 @@ def node_findings(structure: DataFrame, carry: list[str]) -> DataFrame:
 
     `structure` comes from structure.structured; its frames are read in place, without a join.
     """
-    ready = structure.withColumn("raw_upper", F.upper("raw"))
     counts = [F.struct(F.lit(i).alias("rule_id"), _held(c).alias("n_findings")) for i, c in FRAME_RULES.items()]
     counts += [F.struct(F.lit(i).alias("rule_id"), F.coalesce(c, F.lit(False)).cast("int").alias("n_findings")) for i, c in statement_rules().items()]
     hit = F.explode(F.filter(F.array(*counts), lambda x: x["n_findings"] > 0)).alias("hit")
-    return ready.select(*carry, hit).select(*carry, "hit.rule_id", "hit.n_findings")
+    return structure.select(*carry, hit).select(*carry, "hit.rule_id", "hit.n_findings")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataql.operators.relational import difference_in_order
 from strataql.rules.spec import SEVERITY_WEIGHT
 
 SEVERITIES = tuple(SEVERITY_WEIGHT)
@@ -82,10 +83,9 @@ def band(score: Column) -> Column:
     return F.when(score < 40, "OPTIMAL").when(score < 70, "COMPLEX").otherwise("CRITICAL")
 
 
-def trend(scored: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Each score less the one before of the same statement text; null for the first."""
-    before = F.lag("score").over(Window.partitionBy(key).orderBy(*order))
-    return scored.withColumn("trend", F.col("score") - before)
+def trend(scored: DataFrame, key: str, at: str, ties: list[str]) -> DataFrame:
+    """Each score less the one before of the same statement text, by time; null for the first."""
+    return difference_in_order(scored, [key], at, ties, "score", "trend")
 
 
 def compared(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataql.session import spread
+
 _TOKEN = re.compile(
     r"""--[^\n]*|/\*.*?(?:\*/|\Z)|'(?:[^']|'')*(?:'|\Z)|"(?:[^"]|"")*(?:"|\Z)|`[^`]*(?:`|\Z)|\[[A-Za-z_][^\]\n]*\]"""
     r"|\{\{.*?\}\}|\{%.*?%\}|[@:$\#]{1,2}\w+|\d+(?:\.\d+)?|[A-Za-z_][\w$]*|<=>|<=|>=|<>|!=|\|\||::|->>|->|\S",
@@ -445,12 +447,13 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = pdf.drop(columns=["raw"]).copy()
         out["raw"] = pdf["raw"]
+        out["raw_upper"] = pdf["raw"].str.upper()
         out["frames"] = [[{k: f[k] for k in _NAMES} for f in frames(t)] if t else [] for t in pdf["raw"]]
         yield out
 
 
 def structured(statements: DataFrame, carry: list[str], text: str = "raw") -> DataFrame:
-    """The carried columns, `raw` and `frames` of every statement.
+    """The carried columns, `raw`, `raw_upper` and `frames` of every statement.
 
     Null and empty texts, comments and text that is no SQL have whatever frames can be seen, often
     none; texts are taken whole; repeated rows come out each; an empty table gives an empty result.
@@ -459,8 +462,8 @@ def structured(statements: DataFrame, carry: list[str], text: str = "raw") -> Da
     chosen = statements.select(*[F.col(c).alias(k) for k, c in zip(inner, carry)], F.col(text).alias("raw"))
     types = [f"{k} {statements.schema[c].dataType.simpleString()}" for k, c in zip(inner, carry)]
     fields = ", ".join(f"{p.split()[0]}:{p.split()[1]}" for p in FRAME.replace("\n", " ").split(",") if p.strip())
-    out = chosen.mapInPandas(_scan, ", ".join([*types, "raw string", f"frames array<struct<{fields}>>"]))
-    return out.toDF(*carry, "raw", "frames")
+    out = spread(chosen).mapInPandas(_scan, ", ".join([*types, "raw string", "raw_upper string", f"frames array<struct<{fields}>>"]))
+    return out.toDF(*carry, "raw", "raw_upper", "frames")
 
 
 def nodes(structure: DataFrame, key: str) -> DataFrame:

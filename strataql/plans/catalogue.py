@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataql.plans import issues, project, rules, views
+from strataql.plans import issues, project, relational, rules, views
 
-MODULES = [rules, issues, project, views]
+MODULES = [rules, issues, project, relational, views]
 
 FLAGSHIP = "findings_by_dimension"
 

@@ -106,7 +106,7 @@ def complexity_trend(spark: SparkSession, folder: str) -> DataFrame:
     """Change of a statement's score against the time before, by its whitespace-free text."""
     scored = reporting.complexity(table(spark, folder, "statements"), issues(spark, folder))
     st = table(spark, folder, "statements").filter("raw IS NOT NULL").select("stmt_id", "parsed_at", F.sha2(filters.query_key(F.col("raw")), 256).alias("query_sha"))
-    return reporting.trend(scored.join(st, "stmt_id"), "query_sha", ["parsed_at", "stmt_id"]).select("stmt_id", "score", "trend")
+    return reporting.trend(scored.join(st, "stmt_id"), "query_sha", "parsed_at", ["stmt_id"]).select("stmt_id", "score", "trend")
 
 
 def health_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,9 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataql.functions.dialects import canonical_dialect_sql, gate, gate_sql
+from strataql.functions.dialects import canonical_dialect_sql, gate_sql
 from strataql.functions.predicates import sql_text
-from strataql.operators.findings import firing, node_findings, pattern_findings, prepare, text_findings, with_rule_columns
+from strataql.operators.findings import firing, may_match, node_findings, pattern_findings, prepare, text_findings, with_rule_columns
 from strataql.operators.structure import nodes, structured
 from strataql.rules import catalog
 from strataql.rules.spec import CRITICAL, PATTERN, Rule
@@ -48,10 +48,14 @@ def _pattern_sql(dimension: str) -> str:
     return f"WITH {PREPARED_SQL}, found AS ({' UNION ALL '.join(parts)}) SELECT rule_id, count(*) AS n_findings, count(DISTINCT stmt_id) AS n_statements, min(sha256(snippet)) AS first_sha FROM found GROUP BY rule_id"
 
 
+def _fires(rule: Rule):
+    return lambda upper: may_match(rule, upper) & F.col("raw").rlike(rule.java_pattern)
+
+
 def rules_lookaround(spark: SparkSession, folder: str) -> DataFrame:
     """Statements on which each pattern with lookaround fires."""
     rules = _looking()
-    conditions = {r.rule_id: gate(F.col("norm_dialect"), r.dialect_list) & F.col("raw").rlike(r.java_pattern) for r in rules}
+    conditions = {r.rule_id: _fires(r) for r in rules}
     return firing(prepared(spark, folder), conditions, ["stmt_id"]).groupBy("rule_id").agg(F.count("*").alias("n_statements"))
 
 

@@ -1,3 +1,4 @@
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -67,8 +68,9 @@ def test_reports(spark):
     assert tuple(reporting.exit_codes(df).first()) == (3, 2) and tuple(reporting.exit_codes(df.limit(0)).first()) == (0, 0)
     st = spark.createDataFrame([(1, "SELECT a FROM t JOIN u ON 1 = 1"), (2, "SELECT COUNT(*) FROM (SELECT 1)"), (3, None)], "stmt_id long, raw string")
     assert {r.stmt_id: r.score for r in reporting.complexity(st, df).collect()} == {1: 60, 2: 30, 3: 0}  # 10 + 10 + 25 + 15
-    t = spark.createDataFrame([("q", 1, 10), ("q", 2, 25), ("p", 1, 5)], "q string, at int, score int")
-    assert {(r.q, r["at"]): r.trend for r in reporting.trend(t, "q", ["at"]).collect()} == {("q", 1): None, ("q", 2): 15, ("p", 1): None}
+    days = [datetime(2024, 1, d) for d in (1, 1, 5, 9)]
+    t = spark.createDataFrame([("q", days[0], 1, 10), ("q", days[1], 2, 25), ("q", days[3], 3, 20), ("q", None, 4, 1), ("p", days[2], 5, 5)], "q string, at timestamp, k int, score int")
+    assert {r.k: r.trend for r in reporting.trend(t, "q", "at", ["k"]).collect()} == {4: None, 1: 9, 2: 15, 3: -5, 5: None}
     line = df.limit(1).select(reporting.annotation(F.lit("high"), F.lit("a,b:c"), F.lit(3), F.lit(4), F.lit("R"), F.lit("x%\ny")).alias("l"), reporting.csv_line(F.lit('a"b'), F.lit(None), F.lit(3)).alias("c"), reporting.html_row(F.lit("<a>")).alias("h")).first()
     assert line.l == "::error file=a%2Cb%3Ac,line=3,col=4::R x%25%0Ay" and line.c == '"a""b",,3' and line.h == "<tr><td>&lt;a&gt;</td></tr>"
     assert {tuple(r) for r in reporting.heat_map(df).collect()} == {("security", 1, 1, 0, 0), ("cost", 0, 0, 0, 1)}
