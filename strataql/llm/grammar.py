@@ -1063,7 +1063,7 @@ _HEADS: dict[str, tuple[str, ...]] = {
     "alter": (), "drop": (), "truncate": (), "grant": (), "revoke": (), "begin": (), "commit": (), "rollback": (), "set": (),
     "explain": (), "analyze": (), "comment": (), "call": (), "lock": (), "start": (), "use": (), "reset": (), "show": (),
     "describe": ("mysql", "oracle", "snowflake"), "vacuum": ("postgresql", "sqlite", "redshift"),
-    "declare": (), "exec": ("tsql", "oracle"), "execute": (), "copy": ("postgresql", "redshift", "snowflake"), "attach": ("sqlite",),
+    "declare": ("postgresql", "mysql", "tsql", "oracle", "snowflake", "bigquery", "redshift"), "exec": ("tsql", "oracle"), "execute": (), "copy": ("postgresql", "redshift", "snowflake"), "attach": ("sqlite",),
     "detach": ("sqlite",), "pragma": ("sqlite",), "change": ("mysql",), "unload": ("redshift",), "put": ("snowflake",),
     "get": ("snowflake",), "list": ("snowflake",), "go": ("tsql",), "return": ("tsql",), "do": ("postgresql", "mysql"), "if": ("tsql", "bigquery", "snowflake"),
     "end": ("tsql",), "replace": (),
