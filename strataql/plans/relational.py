@@ -184,7 +184,7 @@ SQL = {
     "rel_join_anti": "SELECT p_brand, count(*) AS n_parts FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) GROUP BY 1",
     "rel_join_range": "SELECT part, count(*) AS n_statements FROM statements JOIN (VALUES ('top', 1, 20), ('middle', 10, 120), ('rest', 120, 100000)) r(part, lo, hi) ON line_no >= lo AND line_no < hi GROUP BY 1",
     "rel_join_as_of": "SELECT e.event_id, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS bought_at, round(b.value, 4) AS bought_value FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) b ON e.user_id = b.user_id AND e.ts >= b.ts",
-    "rel_window_ranks": "SELECT o_orderkey, row_number() OVER w::INT AS rn, rank() OVER w::INT AS rk, dense_rank() OVER w::INT AS dr, ntile(4) OVER w::INT AS quartile, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after, first_value(o_orderkey) OVER w AS top FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)".replace("OVER w::INT", "OVER w"),
+    "rel_window_ranks": "SELECT o_orderkey, (row_number() OVER w)::INT AS rn, (rank() OVER w)::INT AS rk, (dense_rank() OVER w)::INT AS dr, (ntile(4) OVER w)::INT AS quartile, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after, first_value(o_orderkey) OVER w AS top FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)",
     "rel_window_frames": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS so_far, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 4) AS moving FROM events",
     "rel_sessions": "WITH b AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR date_trunc('second', ts) - date_trunc('second', lag(ts) OVER w) > INTERVAL 1800 SECOND THEN 1 ELSE 0 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT user_id, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM b) SELECT user_id, session, count(*) AS n_events FROM s GROUP BY ALL",
     "rel_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n_orders FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",

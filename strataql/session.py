@@ -57,7 +57,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for costly work on few or unsplit files.
 
-    Input that already comes in enough partitions, as large data does, stays where it is.
+    Input that already comes in enough partitions, as large data does, stays where it is, and so does
+    a plan with a shuffle of its own: asking how many partitions that has would run it.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
