@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,6 +22,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataql.session import shared_dir
+
 #: The words compiled into the automaton; all others are merged exactly.
 LEXICON_WORDS = 60_000
 #: Words of more bytes aren't compiled.
@@ -153,14 +155,14 @@ class Lexicon:
         assert root == len(states) - 1
         return made
 
-    def save(self, path: str) -> None:
-        """One file: a small head with the lengths, then the arrays, each at a multiple of 8 bytes."""
-        with open(path, "wb") as f:
-            arrays = [np.ascontiguousarray(getattr(self, n)) for n in self.NAMES]
-            f.write(np.array([len(a) for a in arrays], np.int64).tobytes())
-            for a in arrays:
-                f.write(b"\0" * (-f.tell() % 8))
-                f.write(a.tobytes())
+    def to_bytes(self) -> bytes:
+        """A small head with the lengths, then the arrays, each at a multiple of 8 bytes."""
+        arrays = [np.ascontiguousarray(getattr(self, n)) for n in self.NAMES]
+        out = bytearray(np.array([len(a) for a in arrays], np.int64).tobytes())
+        for a in arrays:
+            out += b"\0" * (-len(out) % 8)
+            out += a.tobytes()
+        return bytes(out)
 
     @classmethod
     def load(cls, path: str) -> Lexicon:
@@ -235,12 +237,21 @@ def build_lexicon(texts: DataFrame, path: str, size: int = LEXICON_WORDS) -> Lex
 
 
 def _ship(spark: SparkSession, lexicon: Lexicon) -> str:
-    """Give the automaton's file to all executors, those that join later included; its name."""
-    folder = tempfile.mkdtemp(prefix="lexicon-")
-    path = os.path.join(folder, os.path.basename(folder) + ".bin")
-    lexicon.save(path)
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+    """Give the automaton's file to all executors, those that join later included; its name.
+
+    It is written to the shared folder, from which each executor fetches it once.
+    """
+    name = f"lexicon-{uuid.uuid4().hex}.bin"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{name}")
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(target)
+    try:
+        out.write(bytearray(lexicon.to_bytes()))
+    finally:
+        out.close()
+    files.deleteOnExit(target)
+    spark.sparkContext.addFile(files.makeQualified(target).toString())
+    return name
 
 
 class _Ids(dict):
