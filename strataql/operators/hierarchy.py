@@ -29,8 +29,6 @@ LOCAL_LIMIT = 250_000
 #: Marks in `depth`, besides the number of links to the root.
 ON_CYCLE, BELOW_CYCLE = -1, -2
 
-SEP = "/"
-
 
 def _schema(scope_type: T.DataType) -> T.StructType:
     return T.StructType(

@@ -12,7 +12,6 @@ from strataql.sources.tables import table
 
 def _views(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "schema_views").filter("name IS NOT NULL")
-    # An array of bare names is made of the exploded entries, so that one rule normalises both sides.
     return rows.select("repo_id", bare_name(F.col("name")).alias("node"), F.transform("dependencies", bare_name).alias("parents"))
 
 
