@@ -4,7 +4,8 @@ Code (fenced, indented, in backticks) and quotations are blanked first, since a
 quotes such things is content. What is left is matched by one automaton over phrases of several
 languages, each with a role; a sentence is residue when its roles combine to a message (a page's
 noun with a failure, a word for scripts with a demand), when a whole phrase stands in it, or when
-it holds an unfilled placeholder, unless it reports on one. Coverage, the share of the document's
+it holds an unfilled placeholder. What a reporting verb governs (in its clause, with a subject that is
+not the message's own) doesn't count. Coverage, the share of the document's
 characters that such sentences hold, is given for every document.
 """
 
@@ -56,11 +57,20 @@ PHRASES: dict[tuple[str, str], list[str]] = {
         "|active|", "activar", "habilit", "se necesita", "necesita", "requiere", "necesario", "desactivado", "deshabilitado", "bloqueado", "permita", "active ",
         "有効にして", "無効", "必要です", "ブロックされ", "許可して", "オンにして", "有効化",
     ],
-    # A sentence with one of these reports on a message or names one; it stands for no content.
-    ("any", "report"): [
-        "asked us", "has nothing to do with", "have nothing to do with", "has no effect", "source maps", "returned ", "answered ", " said ", " saw ", "should reject", "comments that still", "mention", "the banner", "|quoted|", "|quoting|", "literally", "such as", "the marker", "jinja", "t-sql", "syntax", "because the", "but the cause", "rolls back", "in the shell step", "is replaced by", "gets replaced", "stands for",
-        "trat bei", "nur im test", "meldete", "zeigte", "venait du", "venait de", "affichait", "renvoyait", "mostraba", "devolvía", "devolvió", "se debía", "と表示", "を返し",
+    # Reporting verbs: what follows in their clause is what somebody said, saw or asked for.
+    ("report", "verb"): [
+        "|said|", "|says|", "|saw|", "|sees|", "|asked|", "|asks|", "|told|", "|reported|", "|reports|", "|complained|", "|mention|", "|mentions|", "|mentioned|", "|quoted|", "|quotes|", "|quoting|", "|reject|", "|rejects|", "|rejected|",
     ],
+    # The same, but servers and pages speak so of themselves: the subject must be another one.
+    ("report", "answer"): ["|returned|", "|answered|", "|meldete|", "|zeigte|", "|affichait|", "|renvoyait|", "|mostraba|", "|devolvía|", "|devolvió|", "を返し"],
+    # What follows in the clause is spoken of, whatever the subject.
+    ("report", "about"): ["is read as", "are read as", "is taken as", "is treated as", "has nothing to do with", "have nothing to do with"],
+    # What stands right behind is named.
+    ("report", "name"): ["the marker", "the banner", "the string", "the phrase", "the placeholder", "|jinja|", "names such as", "markers such as", "phrases such as", "messages such as", "strings such as", "placeholders such as"],
+    # A placeholder right before is explained.
+    ("report", "explained"): ["stands for", "is replaced by", "gets replaced"],
+    # What comes before in the clause is quoted.
+    ("report", "quotative"): ["と表示", "と報告"],
 }
 
 # Words of the usual pseudo-Latin filler.
@@ -110,6 +120,10 @@ NOSCRIPT = re.compile(r"<noscript>[^<]*\bscript[^<]*</noscript>", re.IGNORECASE)
 CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|^(?: {4,}|\t)[^\n]*$", re.DOTALL | re.MULTILINE)
 QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»|「[^」\n]*」")
 SENTENCE = re.compile(r"[^\n.!?。！？]+(?:[.!?。！？](?!\s|$|[^\x00-\x7f])[^\n.!?。！？]*)*[.!?。！？]*")
+#: Where a clause ends, and with it what a reporting verb governs.
+_CLAUSE = re.compile(r";|、|\s[–—-]\s|,?\s(?:but|however|yet|so|because|aber|doch|weil|mais|car|pero|porque)\s|,\s(?:and|und|et|y)\s")
+_PASSIVE = re.compile(r"(?:^|\s)(?:is|are|was|were|be|been|being|gets?|got)(?:\s+(?:not|also|now|already))?\s*$")
+_READER = re.compile(r"(?:^|\s)you(?:\s+\w+)?\s*$")
 _LEAD = re.compile(r"[ \t]*(?:[-*>#]+ |\d+[.)] |[A-Z]: |nit: |blocking: )*", re.IGNORECASE)
 
 
@@ -170,23 +184,62 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         start, end = m.span()
         while h < len(hits) and hits[h][0] < start:
             h += 1
-        k, roles = h, set()
+        k = h
         while k < len(hits) and hits[k][0] < end:
-            if hits[k][1] <= end:
-                roles.add(hits[k][2:])
             k += 1
-        h = k
-        kind = _kind(bare[start:end], roles)
+        inside, h = [x for x in hits[h:k] if x[1] <= end], k
+        reported = _reported(low, start, end, inside)
+        roles = {x[2:] for x in inside if not _is_reported(x[0], x[3], reported)}
+        kind = _kind(_unreported(bare, start, end, reported), roles)
         if kind:
             found.append((kind, start, end))
-    found += _placeholders(bare, hits)
+    found += _placeholders(bare, low, hits)
     return sorted(found, key=lambda x: (x[1], x[2]))
 
 
+def _reported(low: str, start: int, end: int, hits: list) -> list[tuple[int, int, str]]:
+    """(start, end, role) of the parts of a sentence that a report in it governs."""
+    out = []
+    for at, till, kind, role in hits:
+        if kind != "report":
+            continue
+        left = max([start, *(m.end() for m in _CLAUSE.finditer(low, start, at))])
+        after = _CLAUSE.search(low, till, end)
+        right = after.start() if after else end
+        if role == "quotative":
+            out.append((left, at, role))
+        elif role == "name":
+            out.append((till, re.compile(r"[ \t'(:]*").match(low, till).end(), role))
+        elif role == "explained":
+            out.append((at, at, role))
+        elif role == "about" or (low[till : till + 1] != "," and _has_subject(low[left:at], left, at, role, hits)):
+            out.append((till, right, role) if role != "answer" or low[at:till] != "を返し" else (left, at, role))
+    return out
+
+
+def _has_subject(before: str, left: int, at: int, role: str, hits: list) -> bool:
+    """Whether a reporting verb, with these words before it in its clause, has a subject of its own."""
+    part = before.rpartition(",")[2]
+    subject = part if part.strip() else before
+    if not re.search(r"\w", subject) or _PASSIVE.search(subject) or _READER.search(subject):
+        return False
+    return role != "answer" or not any(x[2:] == ("error", "noun") and left <= x[0] < at for x in hits)
+
+
+def _is_reported(at: int, role: str, reported: list) -> bool:
+    """Whether a phrase at this place is governed; a name in front takes whole phrases and placeholders only."""
+    return any(a <= at <= b for a, b, r in reported if r != "explained" and (r != "name" or role == "whole"))
+
+
+def _unreported(bare: str, start: int, end: int, reported: list) -> str:
+    for a, b, role in reported:
+        if role not in ("name", "explained"):
+            bare = bare[:a] + " " * (b - a) + bare[b:]
+    return bare[start:end]
+
+
 def _kind(sentence: str, roles: set[tuple[str, str]]) -> str:
     """What a sentence is, from the roles of its phrases; '' for content."""
-    if ("any", "report") in roles:
-        return ""
     body = sentence[_LEAD.match(sentence).end() :]
     if ("filler", "whole") in roles or _is_latin(body):
         return "filler"
@@ -203,9 +256,9 @@ def _is_latin(body: str) -> bool:
     return known >= 3 and known >= 0.6 * len(words)
 
 
-def _placeholders(bare: str, hits: list) -> list[tuple[str, int, int]]:
+def _placeholders(bare: str, low: str, hits: list) -> list[tuple[str, int, int]]:
     out = []
-    reports = [x[0] for x in hits if x[2:] == ("any", "report")]
+    reports = [x for x in hits if x[2] == "report"]
     for m in PLACEHOLDER.finditer(bare):
         token = m.group()
         if _CAPITALS.match(token) and token != token.upper():
@@ -213,7 +266,8 @@ def _placeholders(bare: str, hits: list) -> list[tuple[str, int, int]]:
         if reports:
             left = max(bare.rfind("\n", 0, m.start()), bare.rfind(". ", 0, m.start())) + 1
             right = min(x for x in (bare.find("\n", m.end()), bare.find(". ", m.end()), len(bare)) if x >= 0)
-            if any(left <= r < right for r in reports):
+            reported = _reported(low, left, right, [x for x in hits if left <= x[0] and x[1] <= right]) if any(left <= x[0] < right for x in reports) else []
+            if _is_reported(m.start(), "whole", reported) or any(r == "explained" and not low[m.end() : a].strip(" \t'") and a >= m.end() for a, _, r in reported):
                 continue
         out.append(("placeholder", *m.span()))
     return out

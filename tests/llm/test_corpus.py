@@ -131,6 +131,35 @@ CONTENT = [
 ]
 
 
+def test_reports_govern_what_follows_only():
+    found = [
+        "The page could not be displayed because the server did not respond.",
+        "This service is temporarily unavailable; the backend returned an error.",
+        "The server returned an error: the page could not be found.",
+        "You are asked to enable JavaScript.",
+        "As you asked, this page could not be found.",
+        "Users said hello, but this page could not be found.",
+        "Resources such as this page could not be found.",
+        "Check the syntax, since {{ owner_team }} owns it.",
+        "{{ owner_team }} mentioned the backlog.",
+        "Die Seite wurde nicht gefunden, und niemand meldete das.",
+    ]
+    content = [
+        "Support said the page could not be found.",
+        "Two users saw access denied on Monday.",
+        "The proxy returned page could not be found until May.",
+        "Security told us to enable JavaScript.",
+        "Reviewers should reject scripts that still hold lorem ipsum.",
+        "The token {{ owner_team }} is kept since the value is read as {{ owner_team }} on that host.",
+        "It was seen that {{ owner_team }} stands for the owner.",
+    ]
+    for t in found:
+        assert spans(t), t
+    for t in content[:5] + content[6:]:
+        assert not spans(t), t
+    assert len(spans(content[5])) == 1
+
+
 def test_residue(spark):
     for t in RESIDUE:
         assert spans(t), t
