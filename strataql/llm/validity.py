@@ -8,6 +8,7 @@ kept by shape within a task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataql.llm import grammar
-from strataql.llm.lexing import BACKTICK, DIALECTS, DOLLAR_QUOTE, NESTED_COMMENT, NORMAL, STATES, balanced, chunks, fold, pattern, summarize
+from strataql.llm.lexing import BACKSLASH, BACKTICK, DIALECTS, DOLLAR_QUOTE, NESTED_COMMENT, NORMAL, STATES, balanced, chunks, fold, pattern, summarize
 
 #: Characters of one chunk.
 CHUNK = 65_536
@@ -23,6 +24,36 @@ CHUNK = 65_536
 KEPT = 200_000
 
 
+_DOLLAR_TAG = re.compile(r"\$(?:[A-Za-z_]\w*)?\$")
+_COMMENT_MARK = re.compile(r"/\*|\*/")
+_QUOTE = re.compile(r"[A-Za-z]{0,2}('''|\"\"\"|['\"`])")
+_CLOSED = {(q, b): re.compile(rf"(?:[^{q}\\]|\\.|{q}{q})*{q}" if b else rf"(?:[^{q}]|{q}{q})*{q}", re.DOTALL) for q in "'\"`" for b in (False, True)}
+
+
+def _is_closed(token: str, dialect: str) -> bool:
+    """Whether a quote or block comment ends with its own mark, not with the text."""
+    if token.startswith("/*"):
+        if dialect not in NESTED_COMMENT:
+            return len(token) >= 4 and token.endswith("*/")
+        depth = 0
+        for m in _COMMENT_MARK.finditer(token):
+            depth += 1 if m.group() == "/*" else -1
+        return depth == 0
+    if dialect in DOLLAR_QUOTE and (m := _DOLLAR_TAG.match(token)):
+        return len(token) >= 2 * m.end() and token.endswith(m.group())
+    m = _QUOTE.match(token)
+    if not m:
+        return True
+    quote = m[1]
+    if len(quote) == 3 and dialect == "bigquery":
+        return len(token) >= m.end() + 3 and token.endswith(quote)
+    if dialect == "oracle" and token[: m.start(1)].lower() in ("q", "nq"):
+        return True  # never cut into a token without its end
+    quote = quote[0]
+    backslash = dialect in BACKSLASH and (quote == "'" or quote == '"' and dialect != "snowflake") or token[0] in "eE"
+    return bool(_CLOSED[quote, backslash].fullmatch(token, m.start(1) + 1))
+
+
 class _Classes(dict):
     """The word of a shape by token, for one dialect; '' for comments, None for what can't be a token."""
 
@@ -41,7 +72,9 @@ class _Classes(dict):
         c, d = token[0], self.dialect
         two = token[:2]
         if two == "--" or two == "/*" or (c == "#" and d in ("mysql", "bigquery")) or (two == "//" and d == "snowflake"):
-            return ""
+            return "" if two != "/*" or _is_closed(token, d) else None
+        if not _is_closed(token, d):
+            return None
         if c == "'" or (len(token) > 2 and "'" in two and c.isalpha()) or two in ('r"', 'b"'):
             return "s"
         if len(token) > 2 and token[1:3] in ("q'", "Q'"):
@@ -52,7 +85,7 @@ class _Classes(dict):
             return "q" if d in BACKTICK else None
         if c == "[" and len(token) > 1:
             return "q"
-        if c == "$" and token.endswith("$") and len(token) > 1 and d in DOLLAR_QUOTE:
+        if d in DOLLAR_QUOTE and _DOLLAR_TAG.match(token):
             return "s$"
         if c.isdigit() or (c == "." and len(token) > 1):
             return "n"
