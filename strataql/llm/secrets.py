@@ -58,6 +58,21 @@ PLACEHOLDER = re.compile(
 )
 DIGEST = re.compile(r"^(?:\$2[abxy]?\$.*|\$(?:1|5|6|argon2\w*|scrypt|pbkdf2[\w-]*)\$.*|md5[0-9a-fA-F]{32}|SCRAM-SHA-256\$.*|\*[0-9A-F]{40}|\{?S?SHA\d*\}?[:$].*|\{S?(?:SHA|MD5)\d*\}.*|sha(?:1|256|512)[:-].*|S:[0-9A-F]{20,}.*)$", re.DOTALL)
 
+#: Calls that look a secret up by its name or make a new one: their literals are no secrets.
+LOOKUP = re.compile(
+    r"(?:^|[\W_])(?:get|read|fetch|load|lookup|find|access|resolve|env|getenv|environ|environment|variable|vault|settings?|config|parameter|kms|ssm|secretsmanager|secret_?manager|keyvault|generate|gen|random|rand|new|rotate|list|count)(?:$|[\W_])|^secrets?$",
+    re.IGNORECASE,
+)
+SETTER = re.compile(r"(?:^|[\W_])(?:set|create|put|store|add|update|save|change|alter|reset|write)(?:$|[\W_])", re.IGNORECASE)
+#: Calls whose literals are patterns, formats or paths.
+SHAPING = re.compile(r"^(?:regexp?_\w+|replace|translate|substr\w*|split\w*|strpos|instr|charindex|position|to_char|to_date|to_timestamp|date_\w+|strftime|format|json_(?:value|query|extract\w*)|get_json_object|nextval|cast|convert|if|iif|nullif|decode)$", re.IGNORECASE)
+#: What encryption, hashing and encoding are told besides the secret.
+ALGORITHM = re.compile(r"(?i)(?:hmac[-_]?)?(?:sha[-_]?\d.*|md[245]|(?:aes|des|3des|rc4)\b.*|base64\w*|hex|escape|bcrypt|bf|xdes|blowfish|scrypt|pbkdf2.*|argon2.*|utf-?\d+\w*|ascii|latin-?1|(?:cipher|compress|s2k)-\S+=.*)")
+#: In front of a name with a bracket: it is a table or column, not a call.
+_DEFINES = frozenset("table into exists view index on references update from join key constraint unique type domain secret trigger with as only".split())
+#: Words before a bracket that are no calls.
+_NO_CALL = frozenset("in values and or not any all some exists select from where on using check set when then else case by over returning".split())
+
 #: A cheap test that holds for every text in which anything below can be found; the same in Java.
 MAY_HOLD = r"(?i)pass|pwd|\bpw\b|_pw|secret|token|key|credential|identified|signature|sig=|bearer|basic|://|akia|asia|gh[pousr]_|glpat|xox[abprs]-|[sr]k_(?:live|test)_|aiza|npm_|sg\.|eyj"
 
@@ -174,7 +189,12 @@ def _lexical(text: str, found: list[Secret]) -> None:
         else:
             before = k - 1
         named = _receiver(tokens, words, before)
-        if named == "call":
+        if named in ("passed", "named"):
+            if (token[0] == "'" or named == "named") and _usable(inner) and not ALGORITHM.fullmatch(inner.strip()):
+                found.append(Secret("assigned", at + 1, at + len(token) - 1))
+            else:
+                _within(inner, at + 1, found, prose=False)
+        elif named == "call":
             found.append(Secret("assigned", at + 1, at + len(token) - 1))
         elif named and (token[0] == "'" or words[before] in ("by", ":", "=", "password")) and _usable(inner):
             if any(m["sign"] == "=" and is_named(m["name"]) for m in PAIR.finditer(inner)):
@@ -225,9 +245,9 @@ def _receiver(tokens: list, words: list[str], k: int) -> str:
     return ""
 
 
-def _in_call(tokens: list, words: list[str], k: int) -> str:
-    """Literal parts of CONCAT(...) that is itself passed to a credential name."""
-    j, depth = k, 0
+def _open(words: list[str], k: int) -> int:
+    """Where the bracket around position k opens; -1 if nowhere."""
+    depth, j = 0, k
     while j >= 0:
         if words[j] == ")":
             depth += 1
@@ -236,17 +256,66 @@ def _in_call(tokens: list, words: list[str], k: int) -> str:
                 break
             depth -= 1
         j -= 1
-    if j < 1 or words[j - 1] not in ("concat", "concat_ws"):
-        return ""
-    if not _receiver(tokens, words, j - 2):
-        return ""
-    parts, depth, i = [], 0, j + 1
+    return j
+
+
+def _literals(tokens: list, words: list[str], o: int) -> tuple[list[int], int]:
+    """The literals within the bracket that opens at o, and where it closes."""
+    own, depth, i = [], 0, o + 1
     while i < len(tokens) and not (words[i] == ")" and depth == 0):
         depth += (words[i] == "(") - (words[i] == ")")
         if tokens[i][0] == "literal":
-            parts.append(tokens[i][1][1:-1])
+            own.append(i)
         i += 1
-    return "call" if i < len(tokens) and _usable("".join(parts)) else ""
+    return own, i
+
+
+def _in_call(tokens: list, words: list[str], k: int) -> str:
+    """Literals of a call that is named for a credential, or is itself assigned or passed to one.
+
+    "call" for the parts of CONCAT(...), which count together; "named" for a call with a credential
+    name; "passed" for any other call. Lookups and patterns carry no secret.
+    """
+    j = _open(words, k)
+    if j < 1:
+        return ""
+    name = words[j - 1]
+    if tokens[j - 1][0] != "word" or name in _NO_CALL:
+        return _receiver(tokens, words, j - 1) and "passed" if words[j - 1] in ("=", ":=", "=>") else ""
+    if name in ("concat", "concat_ws") and _receiver(tokens, words, j - 2):
+        own, close = _literals(tokens, words, j)
+        return "call" if close < len(tokens) and _usable("".join(tokens[i][1][1:-1] for i in own)) else ""
+    if _is_opaque(tokens[j - 1][1]):
+        return ""
+    defined = j > 1 and words[j - 2] in _DEFINES
+    if is_named(name) or is_named(tokens[j - 1][1]):
+        return "" if defined else _of_named(tokens, words, j, k + 1)
+    if defined or j < 2 or words[j - 2] not in ("=", ":", "=>", ":=", ",", "(", "+", "||", "|"):
+        return ""
+    return "passed" if _receiver(tokens, words, j - 2) else ""
+
+
+def _is_opaque(name: str) -> bool:
+    """Whether a called name looks a secret up, makes a new one, or takes patterns."""
+    plain = CAMEL.sub("_", name)
+    return bool(SHAPING.match(name) or (LOOKUP.search(plain) and not SETTER.search(plain)))
+
+
+def _of_named(tokens: list, words: list[str], o: int, at: int) -> str:
+    """Of several literals (a secret's name beside it) the strong ones and placeholders stand for the value, else the last."""
+    own = [i for i in _literals(tokens, words, o)[0] if not ALGORITHM.fullmatch(tokens[i][1][1:-1])]
+    strong = [i for i in own if is_strong(v := tokens[i][1][1:-1]) or is_placeholder(v)] or own[-1:]
+    return "named" if any(i in (at, at + 1) for i in strong) else ""
+
+
+def _is_carried(tokens: list, words: list[str], k: int, outer: int) -> bool:
+    """Whether a literal within calls reaches the bracket at `outer` as a secret."""
+    j = _open(words, k - 1)
+    while j > outer:
+        if tokens[j - 1][0] == "word" and (words[j - 1] in _NO_CALL or _is_opaque(tokens[j - 1][1])):
+            return False
+        j = _open(words, j - 1)
+    return not ALGORITHM.fullmatch(tokens[k][1][1:-1].strip())
 
 
 def _columns(tokens: list, words: list[str], found: list[Secret]) -> None:
@@ -271,18 +340,18 @@ def _columns(tokens: list, words: list[str], found: list[Secret]) -> None:
     wanted = {i for i, name in enumerate(names) if is_named(name)}
     if not wanted:
         return
-    column = 0
+    column = outer = 0
     for k in range(v + 1, len(tokens)):
         w = words[k]
         if w == "(":
             depth += 1
             if depth == 1:
-                column = 0
+                column, outer = 0, k
         elif w == ")":
             depth -= 1
         elif w == "," and depth == 1:
             column += 1
-        elif depth == 1 and column in wanted and tokens[k][0] == "literal" and _usable(tokens[k][1][1:-1]):
+        elif depth and column in wanted and tokens[k][0] == "literal" and _usable(tokens[k][1][1:-1]) and (depth == 1 or tokens[k][1][0] == "'" and _is_carried(tokens, words, k, outer)):
             found.append(Secret("column", tokens[k][2] + 1, tokens[k][2] + len(tokens[k][1]) - 1))
 
 

@@ -20,6 +20,13 @@ HELD = [
     ("VALUES ('o', '{\"client_secret\": \"q1w2e3r4\"}')", "VALUES ('o', '{\"client_secret\": \"********\"}')"),
     ("VALUES ('h', 'Authorization: Basic Ym9iOmgwcnNlIQ==')", "VALUES ('h', 'Authorization: Basic ****************')"),
     (f"VALUES ('k', '{KEY}')", f"VALUES ('k', '{KEY[:27]}\n{'*' * 64}\n{'*' * 32}\n{KEY[-25:]}')"),
+    ("SET PASSWORD FOR 'u'@'h' = PASSWORD('hunTer22x')", "SET PASSWORD FOR 'u'@'h' = PASSWORD('*********')"),
+    ("SELECT set_secret('swordfish')", "SELECT set_secret('*********')"),
+    ("CALL set_secret('reporting', 'hunTer22x')", "CALL set_secret('reporting', '*********')"),
+    ("SELECT vault.create_secret('hunTer22x', 'reporting')", "SELECT vault.create_secret('*********', 'reporting')"),
+    ("UPDATE u SET password = crypt('hunTer22x', gen_salt('bf'))", "UPDATE u SET password = crypt('*********', gen_salt('bf'))"),
+    ("UPDATE u SET password = encode(digest('hunTer22x', 'sha256'), 'hex')", "UPDATE u SET password = encode(digest('*********', 'sha256'), 'hex')"),
+    ("INSERT INTO u (name, password) VALUES ('bob', md5('hunTer22x')), (lower('Anna'), crypt('swordfish', gen_salt('bf')))", "INSERT INTO u (name, password) VALUES ('bob', md5('*********')), (lower('Anna'), crypt('*********', gen_salt('bf')))"),
 ]
 CLEAN = [
     "CREATE ROLE r LOGIN PASSWORD NULL",
@@ -33,6 +40,12 @@ CLEAN = [
     "-- rotate the api key every 90 days, password is kept in the vault",
     "VALUES ('k', '-----BEGIN PUBLIC KEY-----\nAb9+Ab9+Ab9+Ab9+Ab9+Ab9+Ab9+Ab9+Ab9+Ab9+Ab9+\n-----END PUBLIC KEY-----')",
     "CREATE USER u PASSWORD 'md5" + "0af3" * 8 + "'",
+    "UPDATE u SET password = vault_read('secret/db/main'), token = getenv('APP_TOKEN'), pwd = get_secret('reporting')",
+    "UPDATE u SET password = crypt(current_setting('app.admin'), gen_salt('bf', 8))",
+    "UPDATE u SET token = regexp_replace(token, '[^a-z0-9]+', 'blank'), api_key = to_char(now(), 'YYYYMMDD')",
+    "INSERT INTO u (name, password) VALUES (lower('Anna'), vault.read('kv/anna1'))",
+    "CREATE TABLE api_tokens (kind text DEFAULT 'session', state text CHECK (state IN ('open', 'closed')))",
+    "SELECT a FROM t WHERE token IN ('session', 'refresh')",
     "",
     None,
 ]
