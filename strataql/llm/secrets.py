@@ -74,7 +74,7 @@ _DEFINES = frozenset("table into exists view index on references update from joi
 _NO_CALL = frozenset("in values and or not any all some exists select from where on using check set when then else case by over returning".split())
 
 #: A cheap test that holds for every text in which anything below can be found; the same in Java.
-MAY_HOLD = r"(?i)pass|pwd|\bpw\b|_pw|secret|token|key|credential|identified|signature|sig=|bearer|basic|://|akia|asia|gh[pousr]_|glpat|xox[abprs]-|[sr]k_(?:live|test)_|aiza|npm_|sg\.|eyj"
+MAY_HOLD = r"(?i)pass|pwd|pw(?![a-z0-9_])|secret|token|key|credential|identified|signature|sig(?![a-z0-9_])|bearer|basic|://|akia|asia|gh[pousr]_|github_pat_|glpat|xox[abprs]-|[sr]k_(?:live|test)_|aiza|npm_|sg\.|eyj"
 
 _TOKEN = re.compile(
     r"(?P<comment>--[^\r\n]*|/\*.*?(?:\*/|\Z)|\#[^\r\n]*)"
