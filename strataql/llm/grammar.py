@@ -25,6 +25,8 @@ SOFT = frozenset(
     vacuum database schema role user login credential mapping sequence type domain extension lock comment language
     return returns dual minus apply output overwrite go start transaction isnull notnull filter within respect
     current row unbounded preceding following date time timestamp change reset unload put get list
+    loop while elsif elseif exception try catch tran repeat until perform raise raiserror open close exit leave iterate
+    continue signal resignal print throw waitfor deallocate let savepoint
     nolock option connect prior nocycle level sample bernoulli system values true false""".split()
 )
 KEYWORDS = RESERVED | SOFT
@@ -120,7 +122,7 @@ class Parser:
                 self.name()
         elif self.now in NAMES or (self.now == "s" and self.d in ("mysql", "sqlite")):
             self.i += 1
-        elif self.now in SOFT and self.now not in _NO_ALIAS:
+        elif self.now in SOFT and self.now not in _NO_ALIAS and not (self.d == "tsql" and self.now in _STEPS):
             self.i += 1
 
     # -- scripts
@@ -134,7 +136,7 @@ class Parser:
             if self.d == "tsql" and self.now != ";":
                 continue
             self.need(";")
-            while self.take(";"):
+            while self.take(";") or self.d == "oracle" and self.take("/"):
                 pass
 
     def statement(self) -> None:
@@ -151,6 +153,10 @@ class Parser:
             self.merge()
         elif w == "create":
             self.create()
+        elif w == "explain":
+            self.explain()
+        elif w == "if" and self.d in _HEADS["if"] or w == "while" and self.d == "tsql" or w == "begin" and self.opens_block():
+            self.step()
         elif w in _HEADS:
             if _HEADS[w] and self.d not in _HEADS[w]:
                 raise Invalid(f"{w} is not in this dialect")
@@ -166,9 +172,8 @@ class Parser:
             if head == "declare" and self.now == "v":
                 if self.d != "tsql":
                     raise Invalid("a variable can't be declared so in this dialect")
-            elif head == "begin" and self.now not in (";", "$", "transaction") and "end" in self.w[self.i :]:
-                self.i = len(self.w) - 1
-                return
+            elif head == "declare" and self.d in ("oracle", "snowflake") and "begin" in self.w[self.i :]:
+                return self.blocks()
         while self.now != "$" and (depth or self.now != ";"):
             w = self.now
             depth += (w == "(") - (w == ")")
@@ -263,7 +268,7 @@ class Parser:
         if self.now == "," and self.d == "bigquery":
             self.i += 1
         if self.take("into"):
-            self.comma_list(self.dotted)
+            self.comma_list(self.target)
         if self.take("from"):
             self.sources()
         elif self.d == "oracle":
@@ -553,6 +558,8 @@ class Parser:
             self.primary()
         elif w in ("n", "v", "null", "true", "false", "?"):
             self.i += 1
+            if w == "v" and self.d == "oracle" and self.take("."):  # :NEW.name
+                self.name()
         elif w == "s":
             self.i += 1
             while self.now == "s":  # adjacent literals
@@ -846,7 +853,10 @@ class Parser:
             if self.d in ("mysql", "oracle"):
                 raise Invalid("no UPDATE FROM")
             self.sources()
-        if self.take("where"):
+        if self.now == "where" and self.peek() == "current" and self.peek(2) == "of":
+            self.i += 3
+            self.target()
+        elif self.take("where"):
             self.expr()
         if self.d in ("mysql", "sqlite"):
             self.tail()
@@ -885,7 +895,10 @@ class Parser:
             self.sources()
         if self.take("using"):
             self.sources()
-        if self.take("where"):
+        if self.now == "where" and self.peek() == "current" and self.peek(2) == "of":
+            self.i += 3
+            self.target()
+        elif self.take("where"):
             self.expr()
         if self.d in ("mysql", "sqlite"):
             self.tail()
@@ -967,7 +980,7 @@ class Parser:
             if self.take("with"):
                 self.rest("with")
         elif self.take("index"):
-            self.rest("index")
+            self.index()
         elif self.now in ("function", "procedure", "trigger"):
             self.routine()
         elif self.now in _CREATE:
@@ -1043,6 +1056,14 @@ class Parser:
         if self.d == "tsql":
             if "as" not in rest and "begin" not in rest:
                 raise Invalid("no body")
+        at = self.body(rest)
+        if at is not None:
+            self.i += at
+            if self.d == "tsql":
+                return self.steps("$")
+            if self.now != "begin":
+                return self.step()
+            return self.blocks()
         depth = 0
         for w in rest:
             depth += (w == "(") - (w == ")")
@@ -1052,7 +1073,239 @@ class Parser:
             raise Invalid("no END")
         self.i = len(self.w) - 1
 
+    def body(self, rest: list[str]) -> int | None:
+        """Where the statements of a routine begin; None where its body is a string, an expression or a call."""
+        depth, trigger = 0, self.w[self.i - 1] == "trigger"
+        for k, w in enumerate(rest):
+            depth += (w == "(") - (w == ")")
+            if depth:
+                continue
+            after = rest[k + 1] if k + 1 < len(rest) else "$"
+            if self.d == "tsql" and w == "as" and (after in _STEPS or after == "("):
+                return k + 1
+            if self.d != "tsql" and w == "begin":
+                return k
+            if self.d == "mysql" and after in _STEPS - {"begin"} and (trigger and w == "row" or not trigger and w in (")", "i", "n") and k):
+                return k + 1
+        return None
+
+    def blocks(self) -> None:
+        """Declarations and blocks in turn, to the end of the text or of the statement."""
+        while self.now != "$":
+            while self.now not in ("begin", "$"):
+                self.i += 1
+            if self.take("$") or self.now == "$":
+                return
+            self.step()
+            if self.now == ";" and "begin" not in self.w[self.i :]:
+                return
+
+    def opens_block(self) -> bool:
+        """Whether BEGIN here opens a block, not a transaction."""
+        after = self.peek()
+        if after in (";", "$", "transaction", "tran") or self.d in ("sqlite", "postgresql", "redshift", ""):
+            return False
+        return not (self.d == "mysql" and after == "i" and self.peek(2) in (";", "$"))
+
+    def steps(self, *ends: str) -> None:
+        """The statements of a block, up to a word that ends it."""
+        while self.now not in ends:
+            if self.now == "$":
+                raise Invalid("a block never ends")
+            if self.take(";"):
+                continue
+            self.step()
+            if self.now not in ends and self.d != "tsql":
+                self.need(";")
+
+    def step(self) -> None:
+        """One statement within a block, control flow included."""
+        w = self.now
+        if w == "<<":
+            self.i += 3
+            return self.step()
+        if self.is_name(w) and self.peek() == ":" and self.peek(2) in ("begin", "loop", "while", "repeat"):
+            self.i += 2
+            return self.step()
+        if w == "begin" and self.peek() not in (";", "transaction", "tran"):
+            self.i += 1
+            kind = self.w[self.i - 1] if self.take("try", "catch") else ""
+            if self.now == "i" and self.peek() in _STEPS:
+                self.i += 1  # ATOMIC
+            self.steps("end", "exception")
+            if self.take("exception"):
+                while self.take("when"):
+                    self.until("then")
+                    self.steps("when", "end")
+            self.need("end")
+            if kind:
+                self.need(kind)
+            elif self.is_name(self.now) and self.d != "tsql" and self.now not in _STEPS:
+                self.i += 1
+        elif w == "if" and self.d != "tsql":
+            self.i += 1
+            self.expr()
+            self.need("then")
+            self.steps("elsif", "elseif", "else", "end")
+            while self.take("elsif", "elseif"):
+                self.expr()
+                self.need("then")
+                self.steps("elsif", "elseif", "else", "end")
+            if self.take("else"):
+                self.steps("end")
+            self.need("end")
+            self.need("if")
+        elif w in ("if", "while") and self.d == "tsql":
+            self.i += 1
+            self.expr()
+            self.step()
+            if w == "if":
+                if self.now == ";" and self.peek() == "else":
+                    self.i += 1
+                if self.take("else"):
+                    self.step()
+        elif w == "case":
+            self.i += 1
+            if self.now != "when":
+                self.expr()
+            while self.take("when"):
+                self.expr()
+                self.need("then")
+                self.steps("when", "else", "end")
+            if self.take("else"):
+                self.steps("end")
+            self.need("end")
+            self.need("case")
+        elif w in ("while", "for", "loop", "repeat"):
+            self.i += 1
+            if w in ("while", "for"):
+                self.until("loop", "do")
+            self.steps("end", "until")
+            if self.take("until"):
+                self.until("end", keep=True)
+            self.need("end")
+            self.need("loop", "while", "for", "repeat")
+            if self.is_name(self.now):
+                self.i += 1
+        elif w in ("select", "with", "values", "(", "insert", "update", "delete", "merge", "replace", "create", "explain"):
+            self.statement()
+            if self.take("into"):
+                self.comma_list(self.target)
+        elif w in _STEPS or w in _HEADS or w == "null":
+            self.i += 1
+            self.skim(w)
+        elif (self.is_name(w) or w == "v") and self.peek() in (":=", "=", "(", ".", "[", ";", "end"):
+            self.i += 1
+            self.skim(w)
+        else:
+            raise Invalid(f"a statement of a block can't begin with {w}")
+
+    def target(self) -> None:
+        if not self.take("v"):
+            self.dotted()
+
+    def until(self, *words: str, keep: bool = False) -> None:
+        """Skip to one of the words, outside brackets, and past it unless kept."""
+        depth, n = 0, 0
+        while depth or self.now not in words:
+            if self.now in ("$", ";"):
+                raise Invalid(f"no {words[0]}")
+            depth += (self.now == "(") - (self.now == ")")
+            n += 1
+            self.i += 1
+        if not n:
+            raise Invalid("nothing between")
+        self.i += not keep
+
+    def skim(self, head: str) -> None:
+        """Assignments, calls, declarations and their like: balanced words with a whole end."""
+        depth, cases, last = 0, 0, head
+        while self.now != "$":
+            w = self.now
+            if not depth and not cases:
+                if w in (";", "end") or w in ("else", "elsif", "elseif", "exception") and last not in ("declare",):
+                    break
+                if self.d == "tsql" and w in _STEPS and w not in ("for", "loop", "repeat", "case", "with", "values") and head not in ("alter", "grant", "revoke") and last not in (",", "=", "for"):
+                    break
+                if w == "select" and last == "for":
+                    break
+            depth += (w == "(") - (w == ")")
+            cases += (w == "case") - (w == "end")
+            if depth < 0:
+                raise Invalid("a bracket too many")
+            last = w
+            self.i += 1
+        if depth or cases or last in (",", ".", "=", ":=", "+", "-", "(", "||", "and", "or", "where", "from"):
+            raise Invalid("cut short")
+        if last == "for" and self.now == "select":
+            self.query()
+
+    def explain(self) -> None:
+        """EXPLAIN with its options, and the statement explained."""
+        self.need("explain")
+        if self.now == "(" and self.peek() not in ("select", "with", "values", "("):
+            self.brackets()
+        n = 0
+        while self.now in ("analyze", "i", "for", "using", "=", "s") and n < 6 and self.peek() not in ("$", ";", "."):
+            n += 1
+            self.i += 1
+        if self.now in ("select", "with", "values", "(", "insert", "update", "delete", "merge", "replace", "create"):
+            self.statement()
+        elif self.d == "tsql" or self.now in ("$", ";"):
+            raise Invalid("EXPLAIN what")
+        else:
+            self.rest("explain")
+
+    def index(self) -> None:
+        """CREATE INDEX after the word INDEX."""
+        if self.now == "i" and self.peek() in ("if", "i", "q", "on") and self.peek(2) != ".":
+            self.i += self.peek() != "on"
+        self.if_exists()
+        if self.now != "on":
+            self.dotted()
+        if self.take("using"):
+            self.name()
+        self.need("on")
+        self.take("only")
+        self.dotted()
+        if self.take("using"):
+            self.name()
+        if self.now == "(":
+            self.i += 1
+            self.comma_list(self.index_item)
+            self.need(")")
+        elif self.d not in ("tsql", "bigquery", "snowflake"):
+            raise Invalid("no columns")
+        while self.now not in ("$", ";"):
+            if self.take("where"):
+                self.expr()
+            elif self.now == "(":
+                self.brackets()
+            elif self.now in (")", "select", "from", "and", "or", "then"):
+                raise Invalid("an index never ends")
+            else:
+                self.i += 1
+        if self.w[self.i - 1] in (",", "=", "."):
+            raise Invalid("cut short")
+
+    def index_item(self) -> None:
+        self.expr()
+        if self.take("collate"):
+            self.dotted()
+        while self.take("i"):  # an operator class
+            if self.now == "(":
+                self.brackets()
+        self.take("asc", "desc")
+        if self.take("nulls"):
+            self.need("first", "last")
+
 
+#: Words that begin a statement within a block, besides names.
+_STEPS = frozenset(
+    """begin if while for loop repeat case select with values insert update delete merge replace create declare set return exec execute call
+    perform raise raiserror open close fetch exit leave iterate continue signal resignal print throw waitfor deallocate let savepoint commit
+    rollback alter drop truncate grant revoke get""".split()
+)
 _NO_ALIAS = frozenset(
     """qualify window fetch for returning conflict output option tablesample pivot unpivot natural limit offset connect
     start minus apply lateral with partition over within filter collate asc desc nulls escape ilike rlike regexp glob similar
@@ -1066,7 +1319,7 @@ _HEADS: dict[str, tuple[str, ...]] = {
     "declare": ("postgresql", "mysql", "tsql", "oracle", "snowflake", "bigquery", "redshift"), "exec": ("tsql", "oracle"), "execute": (), "copy": ("postgresql", "redshift", "snowflake"), "attach": ("sqlite",),
     "detach": ("sqlite",), "pragma": ("sqlite",), "change": ("mysql",), "unload": ("redshift",), "put": ("snowflake",),
     "get": ("snowflake",), "list": ("snowflake",), "go": ("tsql",), "return": ("tsql",), "do": ("postgresql", "mysql"), "if": ("tsql", "bigquery", "snowflake"),
-    "end": ("tsql",), "replace": (),
+    "end": ("tsql", "postgresql", "redshift", "sqlite"), "replace": (),
 }
 _CREATE: dict[str, tuple[str, ...]] = {
     "user": (), "role": (), "schema": (), "database": (), "sequence": (), "login": ("tsql",), "credential": ("tsql",),
