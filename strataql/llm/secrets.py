@@ -45,6 +45,8 @@ NAMED = re.compile(
     r"(?:^|[\W_])(?:pass(?:word|wd|phrase|code)?|passwd|pwd|pw|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?|private[_-]?keys?|account[_-]?keys?|credentials?|signature|sig|auth[_-]?keys?|encryption[_-]?keys?)$",
     re.IGNORECASE,
 )
+#: Names whose literals may be phrases of several words.
+PHRASED = re.compile(r"(?:^|[\W_])(?:pass(?:word|wd|phrase|code)?|passwd|pwd|pw|identified)$", re.IGNORECASE)
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 PLACEHOLDER = re.compile(
     r"""^(?:
@@ -125,8 +127,10 @@ def _within(text: str, at: int, found: list[Secret], prose: bool) -> None:
     """Secrets named inside a comment or a literal that begins at `at` of the whole text."""
     for m in PAIR.finditer(text):
         value = m["value"].rstrip(")")
+        if prose:
+            value = re.sub(r"\*/$", "", value)
         if is_named(m["name"]) and len(value) >= 6 and not is_placeholder(value):
-            strict = m["sign"] == ":" or prose
+            strict = m["sign"] == ":" or prose and not _is_written_out(text, m, value)
             if not strict or is_strong(value):
                 found.append(Secret("pair", at + m.start("value"), at + m.start("value") + len(value)))
     if prose:
@@ -136,8 +140,23 @@ def _within(text: str, at: int, found: list[Secret], prose: bool) -> None:
                 found.append(Secret("spoken", at + m.start("value"), at + m.start("value") + len(value)))
 
 
-def _usable(value: str) -> bool:
-    return len(value.strip()) >= 4 and not is_placeholder(value.strip()) and not re.search(r"\s\S+\s", value)
+def _is_written_out(text: str, m: re.Match, value: str) -> bool:
+    """Whether name=value in a comment gives a value, not a column, a call or, after a blank, a sentence."""
+    if is_named(value) or re.match(r"[A-Za-z_][\w.]*\(", value):
+        return False
+    return m.end("sign") == m.start("value") or not re.search(r"\w", text[m.end("value") :].split("\n", 1)[0])
+
+
+def _usable(value: str, name: str = "") -> bool:
+    """Whether a literal can be a secret; one of three words or more only under a password's name."""
+    if len(value.strip()) < 4 or is_placeholder(value.strip()):
+        return False
+    return not re.search(r"\s\S+\s", value) or _is_phrased(name)
+
+
+def _is_phrased(name: str) -> bool:
+    name = name.strip("\"`[]' ")
+    return bool(PHRASED.search(name) or PHRASED.search(CAMEL.sub("_", name)))
 
 
 def find(text: str | None) -> list[Secret]:
@@ -189,14 +208,14 @@ def _lexical(text: str, found: list[Secret]) -> None:
         else:
             before = k - 1
         named = _receiver(tokens, words, before)
-        if named in ("passed", "named"):
-            if (token[0] == "'" or named == "named") and _usable(inner) and not ALGORITHM.fullmatch(inner.strip()):
+        if named.startswith(("passed:", "named:")):
+            if (token[0] == "'" or named.startswith("named:")) and _usable(inner, named.rpartition(":")[2]) and not ALGORITHM.fullmatch(inner.strip()):
                 found.append(Secret("assigned", at + 1, at + len(token) - 1))
             else:
                 _within(inner, at + 1, found, prose=False)
         elif named == "call":
             found.append(Secret("assigned", at + 1, at + len(token) - 1))
-        elif named and (token[0] == "'" or words[before] in ("by", ":", "=", "password")) and _usable(inner):
+        elif named and (token[0] == "'" or words[before] in ("by", ":", "=", "password")) and _usable(inner, named):
             if any(m["sign"] == "=" and is_named(m["name"]) for m in PAIR.finditer(inner)):
                 _within(inner, at + 1, found, prose=False)  # name=value parts inside: only their values are the secret
             else:
@@ -273,15 +292,15 @@ def _literals(tokens: list, words: list[str], o: int) -> tuple[list[int], int]:
 def _in_call(tokens: list, words: list[str], k: int) -> str:
     """Literals of a call that is named for a credential, or is itself assigned or passed to one.
 
-    "call" for the parts of CONCAT(...), which count together; "named" for a call with a credential
-    name; "passed" for any other call. Lookups and patterns carry no secret.
+    "call" for the parts of CONCAT(...), which count together; "named:" and the name for a call
+    with a credential name; "passed:" and the receiver's name for any other call. Lookups and patterns carry no secret.
     """
     j = _open(words, k)
     if j < 1:
         return ""
     name = words[j - 1]
     if tokens[j - 1][0] != "word" or name in _NO_CALL:
-        return _receiver(tokens, words, j - 1) and "passed" if words[j - 1] in ("=", ":=", "=>") else ""
+        return _passed(_receiver(tokens, words, j - 1)) if words[j - 1] in ("=", ":=", "=>") else ""
     if name in ("concat", "concat_ws") and _receiver(tokens, words, j - 2):
         own, close = _literals(tokens, words, j)
         return "call" if close < len(tokens) and _usable("".join(tokens[i][1][1:-1] for i in own)) else ""
@@ -292,7 +311,11 @@ def _in_call(tokens: list, words: list[str], k: int) -> str:
         return "" if defined else _of_named(tokens, words, j, k + 1)
     if defined or j < 2 or words[j - 2] not in ("=", ":", "=>", ":=", ",", "(", "+", "||", "|"):
         return ""
-    return "passed" if _receiver(tokens, words, j - 2) else ""
+    return _passed(_receiver(tokens, words, j - 2))
+
+
+def _passed(name: str) -> str:
+    return name and f"passed:{name}"
 
 
 def _is_opaque(name: str) -> bool:
@@ -305,7 +328,7 @@ def _of_named(tokens: list, words: list[str], o: int, at: int) -> str:
     """Of several literals (a secret's name beside it) the strong ones and placeholders stand for the value, else the last."""
     own = [i for i in _literals(tokens, words, o)[0] if not ALGORITHM.fullmatch(tokens[i][1][1:-1])]
     strong = [i for i in own if is_strong(v := tokens[i][1][1:-1]) or is_placeholder(v)] or own[-1:]
-    return "named" if any(i in (at, at + 1) for i in strong) else ""
+    return f"named:{words[o - 1]}" if any(i in (at, at + 1) for i in strong) else ""
 
 
 def _is_carried(tokens: list, words: list[str], k: int, outer: int) -> bool:
@@ -337,7 +360,7 @@ def _columns(tokens: list, words: list[str], found: list[Secret]) -> None:
             names.append("")
         else:
             names[-1] = tokens[k][1].strip("\"`[]'")
-    wanted = {i for i, name in enumerate(names) if is_named(name)}
+    wanted = {i: name for i, name in enumerate(names) if is_named(name)}
     if not wanted:
         return
     column = outer = 0
@@ -351,7 +374,7 @@ def _columns(tokens: list, words: list[str], found: list[Secret]) -> None:
             depth -= 1
         elif w == "," and depth == 1:
             column += 1
-        elif depth and column in wanted and tokens[k][0] == "literal" and _usable(tokens[k][1][1:-1]) and (depth == 1 or tokens[k][1][0] == "'" and _is_carried(tokens, words, k, outer)):
+        elif depth and column in wanted and tokens[k][0] == "literal" and _usable(tokens[k][1][1:-1], wanted[column]) and (depth == 1 or tokens[k][1][0] == "'" and _is_carried(tokens, words, k, outer)):
             found.append(Secret("column", tokens[k][2] + 1, tokens[k][2] + len(tokens[k][1]) - 1))
 
 

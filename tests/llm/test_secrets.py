@@ -27,6 +27,13 @@ HELD = [
     ("UPDATE u SET password = crypt('hunTer22x', gen_salt('bf'))", "UPDATE u SET password = crypt('*********', gen_salt('bf'))"),
     ("UPDATE u SET password = encode(digest('hunTer22x', 'sha256'), 'hex')", "UPDATE u SET password = encode(digest('*********', 'sha256'), 'hex')"),
     ("INSERT INTO u (name, password) VALUES ('bob', md5('hunTer22x')), (lower('Anna'), crypt('swordfish', gen_salt('bf')))", "INSERT INTO u (name, password) VALUES ('bob', md5('*********')), (lower('Anna'), crypt('*********', gen_salt('bf')))"),
+    ("CREATE USER u IDENTIFIED BY 'correct horse battery staple'", "CREATE USER u IDENTIFIED BY '****************************'"),
+    ("SET passphrase = 'tide and fern moss'", "SET passphrase = '******************'"),
+    ("INSERT INTO u (name, userPassword) VALUES ('a b c', 'tide and fern moss')", "INSERT INTO u (name, userPassword) VALUES ('a b c', '******************')"),
+    ("UPDATE u SET password = crypt('tide and fern moss', gen_salt('bf'))", "UPDATE u SET password = crypt('******************', gen_salt('bf'))"),
+    ("SELECT 1 -- password=swordfish for now", "SELECT 1 -- password=********* for now"),
+    ("/* db_password = swordfish */ SELECT 1", "/* db_password = ********* */ SELECT 1"),
+    ("/* pwd=swordfish*/ SELECT 1", "/* pwd=*********/ SELECT 1".replace("*********/", "*" * 9 + "*/")),
 ]
 CLEAN = [
     "CREATE ROLE r LOGIN PASSWORD NULL",
@@ -46,6 +53,8 @@ CLEAN = [
     "INSERT INTO u (name, password) VALUES (lower('Anna'), vault.read('kv/anna1'))",
     "CREATE TABLE api_tokens (kind text DEFAULT 'session', state text CHECK (state IN ('open', 'closed')))",
     "SELECT a FROM t WHERE token IN ('session', 'refresh')",
+    "SELECT 1 -- WHERE u.token=t.token AND u.password = crypt(x) AND password = required for login",
+    "INSERT INTO c (n, v) VALUES ('api_key', 'ask the on-call team')",
     "",
     None,
 ]
