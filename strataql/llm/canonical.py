@@ -22,6 +22,9 @@ SEP = "\x1f"
 _LIST_END = frozenset("from into where group having order limit offset fetch union except intersect minus qualify window for returning when on bulk ;".split())
 _SET_END = frozenset("where from returning output order limit when on ;".split())
 
+#: Words between INSERT and its target.
+_INSERT_WORDS = frozenset("or into overwrite table only ignore replace abort fail rollback low_priority high_priority delayed top".split())
+
 
 class _Forms(dict):
     """Canonical spelling by token, filled on demand and emptied when it grows."""
@@ -81,7 +84,7 @@ def _join_items(items: list[str]) -> list[str]:
 def _arrange(words: list[str]) -> list[str]:
     """Sort the free-order lists of one bracket depth."""
     n = len(words)
-    if "insert" in words and "into" in words:
+    if "insert" in words:
         words = _arrange_insert(words)
         n = len(words)
     if "select" not in words and "set" not in words:
@@ -102,11 +105,10 @@ def _arrange(words: list[str]) -> list[str]:
                 if i < n:
                     out.append(words[i])
                     i += 1
-            j = i
-            depth = 0
-            while j < n and (depth or words[j] not in _LIST_END):
-                depth += (words[j] == "case") - (words[j] == "end")
-                j += 1
+            if i + 1 < n and out[-1] == "distinct" and words[i] == "on" and isinstance(words[i + 1], _Group):
+                out += words[i : i + 2]
+                i += 2
+            j = _list_end(words, i)
             out += _sorted_list(words[i:j])
             i = j
         elif w == "set" and "update" in words:
@@ -118,26 +120,53 @@ def _arrange(words: list[str]) -> list[str]:
     return out
 
 
-def _arrange_insert(words: list[str]) -> list[str]:
-    """Sort an INSERT column list, moving each VALUES row or the SELECT list with it."""
-    at = words.index("into")
-    k = next((i for i in range(at + 1, len(words)) if isinstance(words[i], _Group)), None)
-    if k is None or "values" in words[at:k] or "select" in words[at:k]:
+def _list_end(words: list[str], j: int) -> int:
+    """Where the SELECT list that begins at j ends; the words of a CASE don't end it."""
+    depth = 0
+    while j < len(words) and (depth or words[j] not in _LIST_END):
+        depth += (words[j] == "case") - (words[j] == "end")
+        j += 1
+    return j
+
+
+def _insert_columns(words: list[str], at: int, merges: bool) -> int | None:
+    """Where the column list of the INSERT at `at` is: right behind its target, or behind INSERT itself in a MERGE."""
+    n, k = len(words), at + 1
+    if k < n and isinstance(words[k], _Group):
+        return k if merges and words[k + 1 : k + 2] == ["values"] else None
+    while k < n and words[k] in _INSERT_WORDS:
+        k += 1 + (words[k] == "top")
+    k += 1
+    while k < n and words[k] == ".":
+        k += 1 if words[k + 1 : k + 2] == ["."] else 2
+    if words[k : k + 1] in (["as"], ["partition"]):
+        k += 2
+    return k if k < n and isinstance(words[k], _Group) else None
+
+
+def _arrange_insert(words: list[str], merges: bool = False) -> list[str]:
+    """Sort an INSERT column list, moving each VALUES row or the SELECT list with it; all INSERTs of a MERGE."""
+    merges = merges or "merge" in words
+    found = (_insert_columns(words, i, merges) for i, w in enumerate(words) if w == "insert")
+    k = next((x for x in found if x is not None), None)
+    if k is None:
         return words
     columns = words[k].items
     order = sorted(range(len(columns)), key=lambda i: (SEP.join(columns[i]), i))
     rest = words[k + 1 :]
-    if "values" in rest:
-        v = rest.index("values")
-        rows = [x for x in rest[v + 1 :] if isinstance(x, _Group)]
-        if any(len(r.items) != len(columns) for r in rows):
-            return words
-        moved = [_group([r.items[i] for i in order]) if isinstance(r, _Group) else r for r in rest[v + 1 :]]
-        return words[:k] + [_group([columns[i] for i in order])] + rest[: v + 1] + moved
+    if "values" in rest and rest[:1] != ["select"]:
+        v = end = rest.index("values") + 1
+        while end < len(rest) and (isinstance(rest[end], _Group) or rest[end] == ","):
+            end += 1
+        rows, tail = rest[v:end], rest[end:]
+        if merges and "insert" in tail:
+            tail = _arrange_insert(tail, True)
+        if any(len(r.items) != len(columns) for r in rows if isinstance(r, _Group)):
+            return words[: k + 1] + rest[:end] + tail
+        moved = [_group([r.items[i] for i in order]) if isinstance(r, _Group) else r for r in rows]
+        return words[:k] + [_group([columns[i] for i in order])] + rest[:v] + moved + tail
     if rest[:1] == ["select"]:
-        j = 1
-        while j < len(rest) and rest[j] not in _LIST_END:
-            j += 1
+        j = _list_end(rest, 1)
         picked = _split(rest[1:j])
         if rest[1:2] in (["distinct"], ["all"], ["top"]) or len(picked) != len(columns):
             return words

@@ -9,6 +9,13 @@ SAME = [
     ("INSERT INTO t (a, b) VALUES (1, 'x'), (2, 'y')", "insert into T (b, a) values ('x', 1), ('y', 2);"),
     ("WITH r AS (SELECT a, b FROM t) SELECT b, a FROM r", "with r as (select b,a from t) select a,b from r"),
     ("INSERT INTO t (a, b) SELECT c, d FROM u", "INSERT INTO t (b, a) SELECT d, c FROM u"),
+    ("INSERT t (b, a) VALUES (2, 1)", "insert T (a, b) values (1, 2)"),
+    ("INSERT TOP (3) dbo.t (b, a) SELECT d, c FROM u", "INSERT TOP (3) dbo.t (a, b) SELECT c, d FROM u"),
+    ("INSERT INTO t (a, b) SELECT CASE WHEN c > 1 THEN 2 ELSE 3 END, d FROM u", "INSERT INTO t (b, a) SELECT d, CASE WHEN c > 1 THEN 2 ELSE 3 END FROM u"),
+    ("MERGE INTO t USING s ON (t.a = s.a) WHEN NOT MATCHED THEN INSERT (a, b) VALUES (s.a, s.b)", "MERGE INTO t USING s ON (t.a = s.a) WHEN NOT MATCHED THEN INSERT (b, a) VALUES (s.b, s.a)"),
+    ("MERGE INTO t USING s ON t.a = s.a WHEN NOT MATCHED AND c THEN INSERT (a, b) VALUES (1, 2) WHEN NOT MATCHED THEN INSERT (a, b) VALUES (3, 4)", "MERGE INTO t USING s ON t.a = s.a WHEN NOT MATCHED AND c THEN INSERT (b, a) VALUES (2, 1) WHEN NOT MATCHED THEN INSERT (b, a) VALUES (4, 3)"),
+    ("SELECT DISTINCT ON (a) b, c FROM t", "SELECT DISTINCT ON (a) c, b FROM t"),
+    ("INSERT INTO t (a, b) VALUES (1, 2) ON CONFLICT (a, b) DO NOTHING", "INSERT INTO t (b, a) VALUES (2, 1) ON CONFLICT (a, b) DO NOTHING"),
 ]
 DIFFERENT = [
     ("SELECT a FROM t WHERE x = 'A'", "SELECT a FROM t WHERE x = 'a'"),
@@ -17,6 +24,10 @@ DIFFERENT = [
     ("SELECT a FROM t -- note", "SELECT a FROM t"),
     ("SELECT a FROM t ORDER BY a, b", "SELECT a FROM t ORDER BY b, a"),
     ("INSERT INTO t (a, b) VALUES (1, 2)", "INSERT INTO t (b, a) VALUES (1, 2)"),
+    ("INSERT t (a, b) SELECT c, d FROM u", "INSERT t (a, b) SELECT d, c FROM u"),
+    ("MERGE INTO t USING s ON (t.a = s.a) WHEN NOT MATCHED THEN INSERT (a, b) VALUES (1, 2)", "MERGE INTO t USING s ON (t.a = s.a) WHEN NOT MATCHED THEN INSERT (a, b) VALUES (2, 1)"),
+    ("SELECT DISTINCT ON (a) b FROM t", "SELECT DISTINCT ON (b) a FROM t"),
+    ("SELECT INSERT(a, 1, 2, 'x') FROM t", "SELECT INSERT(a, 2, 1, 'x') FROM t"),
     ("SELECT a FROM t WHERE x < 1", "SELECT a FROM t WHERE x <= 1"),
 ]
 
