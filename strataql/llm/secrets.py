@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,20 +34,20 @@ ISSUED = re.compile(
     r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{20,}"
     r")(?![A-Za-z0-9_])"
 )
-PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?P<body>.+?)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----", re.DOTALL)
-URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@'\"<>]*:(?P<value>[^\s'\"]+?)@[\w\[]")
+PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?P<body>(?:[^-]|-(?!----))+)-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]+://[^\s:/@'\"<>]*:(?P<value>(?:(?!://)[^\s'\"])+?)@[\w\[]")
 HEADER = re.compile(r"(?i)\b(?P<scheme>bearer|basic)\s+(?P<value>[A-Za-z0-9+/=_.~-]{8,})")
 #: Within literals and comments: name=value, name: value.
-PAIR = re.compile(r"(?P<name>[A-Za-z_][\w.-]*)\"?\s*(?P<sign>[=:])\s*\"?(?P<value>[^\s;,&'\"]+)")
+PAIR = re.compile(r"(?<![\w.])(?<![\w.]-)(?P<name>\w[\w.-]*)\"?\s*(?P<sign>[=:])\s*\"?(?P<value>[^\s;,&'\"]+)")
 #: Words in front of a value in prose.
 SPOKEN = re.compile(r"(?i)\b(?:password|passwd|pwd|pw|pass|passphrase)\s+(?P<value>\S+)")
 
 NAMED = re.compile(
-    r"(?:^|[\W_])(?:pass(?:word|wd|phrase|code)?|passwd|pwd|pw|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?|private[_-]?keys?|account[_-]?keys?|credentials?|signature|sig|auth[_-]?keys?|encryption[_-]?keys?)$",
+    r"(?:^|[\W_])(?:pass(?:word|wd|[_-]?phrase|code)?|passwd|pwd|pw|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|secret[_-]?keys?|private[_-]?keys?|account[_-]?keys?|credentials?|signature|sig|auth[_-]?keys?|encryption[_-]?keys?)$",
     re.IGNORECASE,
 )
 #: Names whose literals may be phrases of several words.
-PHRASED = re.compile(r"(?:^|[\W_])(?:pass(?:word|wd|phrase|code)?|passwd|pwd|pw|identified)$", re.IGNORECASE)
+PHRASED = re.compile(r"(?:^|[\W_])(?:pass(?:word|wd|[_-]?phrase|code)?|passwd|pwd|pw|identified)$", re.IGNORECASE)
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 PLACEHOLDER = re.compile(
     r"""^(?:
@@ -140,11 +141,14 @@ def _within(text: str, at: int, found: list[Secret], prose: bool) -> None:
                 found.append(Secret("spoken", at + m.start("value"), at + m.start("value") + len(value)))
 
 
+_REST = re.compile(r"[^\n]*?\w")
+
+
 def _is_written_out(text: str, m: re.Match, value: str) -> bool:
     """Whether name=value in a comment gives a value, not a column, a call or, after a blank, a sentence."""
     if is_named(value) or re.match(r"[A-Za-z_][\w.]*\(", value):
         return False
-    return m.end("sign") == m.start("value") or not re.search(r"\w", text[m.end("value") :].split("\n", 1)[0])
+    return m.end("sign") == m.start("value") or not _REST.match(text, m.end("value"))
 
 
 def _usable(value: str, name: str = "") -> bool:
@@ -189,25 +193,134 @@ def find(text: str | None) -> list[Secret]:
     return _merged(found)
 
 
+class _Tokens:
+    """The tokens of a text, with what every bracket and place is assigned or passed to, told in one forward pass.
+
+    What stands at a place is decided by earlier places alone, so each is worked out once, whatever
+    the length of a list, the number of concatenated parts or the depth of calls.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.tokens = [(m.lastgroup, m.group(), m.start()) for m in _TOKEN.finditer(text)]
+        self.words = [t[1].lower() for t in self.tokens]
+        n = len(self.tokens)
+        #: The open bracket around each place (itself for an open bracket), -1 outside; and where each closes.
+        self.around, self.close = [-1] * n, {}
+        self.literals = [k for k, t in enumerate(self.tokens) if t[0] == "literal"]
+        open_now: list[int] = []
+        for k, w in enumerate(self.words):
+            if w == "(":
+                open_now.append(k)
+            elif w == ")" and open_now:
+                self.close[open_now.pop()] = k
+            self.around[k] = open_now[-1] if open_now else -1
+        self.attach = self.words.index("attach") if "attach" in self.words else n
+        self.receivers: list[str] = []
+        self.carriers: dict[int, set[int]] = {}
+        self.joined: dict[int, bool] = {}
+        for k in range(n):
+            self.receivers.append(self._receiver(k))
+
+    def receiver(self, k: int) -> str:
+        """What a literal behind place k is assigned or passed to: its name where that names a credential."""
+        return self.receivers[k] if k >= 0 else ""
+
+    def before(self, k: int) -> int:
+        """The place before the literal at k, its prefix (N, E, ...) left out."""
+        if k and self.words[k - 1] in ("n", "e", "r", "b", "q") and self.tokens[k - 1][2] + 1 == self.tokens[k][2]:
+            return k - 2
+        return k - 1
+
+    def within(self, o: int) -> list[int]:
+        """The literals within the bracket that opens at o."""
+        return self.literals[bisect_left(self.literals, o) : bisect_left(self.literals, self.close.get(o, len(self.tokens)))]
+
+    def _receiver(self, k: int) -> str:
+        tokens, words = self.tokens, self.words
+        kind, token, _ = tokens[k]
+        if kind == "word":
+            if words[k] == "by":
+                return "identified" if k and words[k - 1] == "identified" else ""
+            if words[k] == "key" and self.attach < k:
+                return token
+            return token if is_named(token) else ""
+        if token in ("=", ":", "=>", ":="):
+            k -= 1
+            if k < 0:
+                return ""
+            kind, token, _ = tokens[k]
+            if kind == "word":
+                return token if is_named(token) else ""
+            if kind == "literal":
+                if is_named(token[1:-1]):
+                    return token
+                # SET PASSWORD FOR 'user'@'host' = '...'
+                j = k
+                while j >= 0 and (tokens[j][0] == "literal" or words[j] in ("@", "for", "user")):
+                    j -= 1
+                return tokens[j][1] if j >= 0 and j < k and words[j] == "password" and "for" in words[j:k] else ""
+            return ""
+        if token == ",":
+            if k and tokens[k - 1][0] == "literal" and is_named(tokens[k - 1][1][1:-1].strip()):
+                return tokens[k - 1][1]
+            return self._in_call(k)
+        if token == "(":
+            return self._in_call(k)
+        if token in ("+", "||", "|"):
+            j = k - (1 if token != "|" else 2)
+            return "call" if j >= 0 and tokens[j][0] == "literal" and self.receiver(self.before(j)) else ""
+        return ""
+
+    def _in_call(self, k: int) -> str:
+        """Literals of a call that is named for a credential, or is itself assigned or passed to one.
+
+        "call" for the parts of CONCAT(...), which count together; "named:" and the name for a call
+        with a credential name; "passed:" and the receiver's name for any other call. Lookups and patterns carry no secret.
+        """
+        tokens, words, j = self.tokens, self.words, self.around[k]
+        if j < 1:
+            return ""
+        name = words[j - 1]
+        if tokens[j - 1][0] != "word" or name in _NO_CALL:
+            return _passed(self.receiver(j - 1)) if words[j - 1] in ("=", ":=", "=>") else ""
+        if name in ("concat", "concat_ws") and self.receiver(j - 2):
+            if j not in self.joined:
+                self.joined[j] = j in self.close and _usable("".join(tokens[i][1][1:-1] for i in self.within(j)))
+            return "call" if self.joined[j] else ""
+        if _is_opaque(tokens[j - 1][1]):
+            return ""
+        defined = j > 1 and words[j - 2] in _DEFINES
+        if is_named(name) or is_named(tokens[j - 1][1]):
+            return "" if defined else self._of_named(j, k + 1)
+        if defined or j < 2 or words[j - 2] not in ("=", ":", "=>", ":=", ",", "(", "+", "||", "|"):
+            return ""
+        return _passed(self.receiver(j - 2))
+
+    def _of_named(self, o: int, at: int) -> str:
+        """Of several literals (a secret's name beside it) the strong ones and placeholders stand for the value, else the last."""
+        if o not in self.carriers:
+            own = [i for i in self.within(o) if not ALGORITHM.fullmatch(self.tokens[i][1][1:-1])]
+            self.carriers[o] = set([i for i in own if is_strong(v := self.tokens[i][1][1:-1]) or is_placeholder(v)] or own[-1:])
+        return f"named:{self.words[o - 1]}" if at in self.carriers[o] or at + 1 in self.carriers[o] else ""
+
+
 def _lexical(text: str, found: list[Secret]) -> None:
-    tokens = [(m.lastgroup, m.group(), m.start()) for m in _TOKEN.finditer(text)]
-    words = [t[1].lower() for t in tokens]
+    t = _Tokens(text)
+    tokens, words = t.tokens, t.words
     for k, (kind, token, at) in enumerate(tokens):
         if kind == "comment":
             _within(token, at, found, prose=True)
             continue
-        if kind == "word" and "=" in text[at + len(token) : at + len(token) + 1] and is_named(token):
-            m = re.match(r"=([^\s'\";,&]+)", text[at + len(token) :])
-            if m and len(m[1]) >= 8 and is_strong(m[1].rstrip(")")):
-                found.append(Secret("pair", at + len(token) + 1, at + len(token) + 1 + len(m[1].rstrip(")"))))
+        if kind == "word" and text.startswith("=", at + len(token)) and is_named(token):
+            m = _BARE_VALUE.match(text, at + len(token) + 1)
+            if m and len(m[0]) >= 8 and is_strong(m[0].rstrip(")")):
+                found.append(Secret("pair", m.start(), m.start() + len(m[0].rstrip(")"))))
         if kind != "literal":
             continue
         inner = token[1:-1]
-        if k and words[k - 1] in ("n", "e", "r", "b", "q") and tokens[k - 1][2] + 1 == at:
-            before = k - 2
-        else:
-            before = k - 1
-        named = _receiver(tokens, words, before)
+        before = t.before(k)
+        named = t.receiver(before)
         if named.startswith(("passed:", "named:")):
             if (token[0] == "'" or named.startswith("named:")) and _usable(inner, named.rpartition(":")[2]) and not ALGORITHM.fullmatch(inner.strip()):
                 found.append(Secret("assigned", at + 1, at + len(token) - 1))
@@ -222,100 +335,14 @@ def _lexical(text: str, found: list[Secret]) -> None:
                 found.append(Secret("assigned", at + 1, at + len(token) - 1))
         else:
             _within(inner, at + 1, found, prose=False)
-    _columns(tokens, words, found)
+    _columns(t, found)
 
 
-def _receiver(tokens: list, words: list[str], k: int) -> str:
-    """What the literal after position k is assigned or passed to: its name where that names a credential."""
-    if k < 0:
-        return ""
-    kind, token, _ = tokens[k]
-    if kind == "word":
-        if words[k] == "by":
-            return "identified" if k and words[k - 1] == "identified" else ""
-        if words[k] in ("key",) and any(w == "attach" for w in words[:k]):
-            return token
-        return token if is_named(token) else ""
-    if token in ("=", ":", "=>", ":="):
-        k -= 1
-        if k < 0:
-            return ""
-        kind, token, _ = tokens[k]
-        if kind == "word":
-            return token if is_named(token) else ""
-        if kind == "literal":
-            if is_named(token[1:-1]):
-                return token
-            # SET PASSWORD FOR 'user'@'host' = '...'
-            j = k
-            while j >= 0 and (tokens[j][0] == "literal" or words[j] in ("@", "for", "user")):
-                j -= 1
-            return tokens[j][1] if j >= 0 and j < k and words[j] == "password" and "for" in words[j:k] else ""
-        return ""
-    if token == ",":
-        if k and tokens[k - 1][0] == "literal" and is_named(tokens[k - 1][1][1:-1].strip()):
-            return tokens[k - 1][1]
-        return _in_call(tokens, words, k)
-    if token == "(":
-        return _in_call(tokens, words, k)
-    if token in ("+", "||", "|"):
-        j = k - (1 if token != "|" else 2)
-        return "call" if j >= 0 and tokens[j][0] == "literal" and _receiver(tokens, words, j - 1) else ""
-    return ""
-
-
-def _open(words: list[str], k: int) -> int:
-    """Where the bracket around position k opens; -1 if nowhere."""
-    depth, j = 0, k
-    while j >= 0:
-        if words[j] == ")":
-            depth += 1
-        elif words[j] == "(":
-            if depth == 0:
-                break
-            depth -= 1
-        j -= 1
-    return j
-
-
-def _literals(tokens: list, words: list[str], o: int) -> tuple[list[int], int]:
-    """The literals within the bracket that opens at o, and where it closes."""
-    own, depth, i = [], 0, o + 1
-    while i < len(tokens) and not (words[i] == ")" and depth == 0):
-        depth += (words[i] == "(") - (words[i] == ")")
-        if tokens[i][0] == "literal":
-            own.append(i)
-        i += 1
-    return own, i
-
-
-def _in_call(tokens: list, words: list[str], k: int) -> str:
-    """Literals of a call that is named for a credential, or is itself assigned or passed to one.
-
-    "call" for the parts of CONCAT(...), which count together; "named:" and the name for a call
-    with a credential name; "passed:" and the receiver's name for any other call. Lookups and patterns carry no secret.
-    """
-    j = _open(words, k)
-    if j < 1:
-        return ""
-    name = words[j - 1]
-    if tokens[j - 1][0] != "word" or name in _NO_CALL:
-        return _passed(_receiver(tokens, words, j - 1)) if words[j - 1] in ("=", ":=", "=>") else ""
-    if name in ("concat", "concat_ws") and _receiver(tokens, words, j - 2):
-        own, close = _literals(tokens, words, j)
-        return "call" if close < len(tokens) and _usable("".join(tokens[i][1][1:-1] for i in own)) else ""
-    if _is_opaque(tokens[j - 1][1]):
-        return ""
-    defined = j > 1 and words[j - 2] in _DEFINES
-    if is_named(name) or is_named(tokens[j - 1][1]):
-        return "" if defined else _of_named(tokens, words, j, k + 1)
-    if defined or j < 2 or words[j - 2] not in ("=", ":", "=>", ":=", ",", "(", "+", "||", "|"):
-        return ""
-    return _passed(_receiver(tokens, words, j - 2))
+_BARE_VALUE = re.compile(r"[^\s'\";,&]+")
 
 
 def _passed(name: str) -> str:
-    return name and f"passed:{name}"
+    return name and f"passed:{name.rpartition(':')[2]}"
 
 
 def _is_opaque(name: str) -> bool:
@@ -324,25 +351,9 @@ def _is_opaque(name: str) -> bool:
     return bool(SHAPING.match(name) or (LOOKUP.search(plain) and not SETTER.search(plain)))
 
 
-def _of_named(tokens: list, words: list[str], o: int, at: int) -> str:
-    """Of several literals (a secret's name beside it) the strong ones and placeholders stand for the value, else the last."""
-    own = [i for i in _literals(tokens, words, o)[0] if not ALGORITHM.fullmatch(tokens[i][1][1:-1])]
-    strong = [i for i in own if is_strong(v := tokens[i][1][1:-1]) or is_placeholder(v)] or own[-1:]
-    return f"named:{words[o - 1]}" if any(i in (at, at + 1) for i in strong) else ""
-
-
-def _is_carried(tokens: list, words: list[str], k: int, outer: int) -> bool:
-    """Whether a literal within calls reaches the bracket at `outer` as a secret."""
-    j = _open(words, k - 1)
-    while j > outer:
-        if tokens[j - 1][0] == "word" and (words[j - 1] in _NO_CALL or _is_opaque(tokens[j - 1][1])):
-            return False
-        j = _open(words, j - 1)
-    return not ALGORITHM.fullmatch(tokens[k][1][1:-1].strip())
-
-
-def _columns(tokens: list, words: list[str], found: list[Secret]) -> None:
+def _columns(t: _Tokens, found: list[Secret]) -> None:
     """INSERT INTO t (user, password) VALUES ('a', '...'): literals by their column's name."""
+    tokens, words = t.tokens, t.words
     if "insert" not in words or "values" not in words:
         return
     v = words.index("values")
@@ -352,7 +363,7 @@ def _columns(tokens: list, words: list[str], found: list[Secret]) -> None:
         return
     if o > v:
         return
-    names, depth = [""], 0
+    names = [""]
     for k in range(o + 1, v):
         if words[k] == ")":
             break
@@ -363,19 +374,26 @@ def _columns(tokens: list, words: list[str], found: list[Secret]) -> None:
     wanted = {i: name for i, name in enumerate(names) if is_named(name)}
     if not wanted:
         return
-    column = outer = 0
+    column = 0
+    carries: list[bool] = []  # for every bracket open now, whether its literals reach the row as secrets
     for k in range(v + 1, len(tokens)):
         w = words[k]
         if w == "(":
-            depth += 1
-            if depth == 1:
-                column, outer = 0, k
+            if not carries:
+                column = 0
+                carries.append(True)
+            else:
+                shaped = tokens[k - 1][0] == "word" and (words[k - 1] in _NO_CALL or _is_opaque(tokens[k - 1][1]))
+                carries.append(carries[-1] and not shaped)
         elif w == ")":
-            depth -= 1
-        elif w == "," and depth == 1:
+            if carries:
+                carries.pop()
+        elif w == "," and len(carries) == 1:
             column += 1
-        elif depth and column in wanted and tokens[k][0] == "literal" and _usable(tokens[k][1][1:-1], wanted[column]) and (depth == 1 or tokens[k][1][0] == "'" and _is_carried(tokens, words, k, outer)):
-            found.append(Secret("column", tokens[k][2] + 1, tokens[k][2] + len(tokens[k][1]) - 1))
+        elif carries and column in wanted and tokens[k][0] == "literal" and _usable(tokens[k][1][1:-1], wanted[column]):
+            inner = len(carries) > 1
+            if not inner or tokens[k][1][0] == "'" and carries[-1] and not ALGORITHM.fullmatch(tokens[k][1][1:-1].strip()):
+                found.append(Secret("column", tokens[k][2] + 1, tokens[k][2] + len(tokens[k][1]) - 1))
 
 
 def _merged(found: list[Secret]) -> list[Secret]:

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 
@@ -105,3 +106,24 @@ def test_tables(spark):
     masked = {r.id: r.text for r in redacted(df, "row_key", "body").collect()}
     assert masked == {i: redact(t) for i, t in enumerate(texts)}
     assert secrets(df.limit(0), "row_key", "body").collect() == [] and redacted(df.limit(0), "row_key", "body").collect() == []
+
+
+LONG = [
+    "UPDATE u SET password = " + " || ".join(f"'aB3{i:05d}'" for i in range(10_000)),
+    "SELECT a FROM t WHERE x IN (" + ", ".join(f"'v{i}'" for i in range(100_000)) + ")",
+    "SELECT set_secret(" + ", ".join(f"'aB3{i:05d}'" for i in range(20_000)) + ")",
+    "UPDATE u SET password = " + "f(" * 10_000 + "'hunTer22x'" + ")" * 10_000,
+    "INSERT INTO u (name, password) VALUES " + ", ".join("('bob', f(g('hunTer22x')))" for _ in range(10_000)),
+    "INSERT INTO u (name, password) VALUES ('bob', " + "f(" * 10_000 + "'hunTer22x'" + ")" * 10_000 + ")",
+    "-- " + "aB3d" * 100_000,
+    "-- " + "a-" * 100_000 + " 'x' http://a:80,http://b:80" + ",http://b:80" * 20_000,
+    "SELECT 1 -- token=a " + "password=x " * 20_000,
+]
+
+
+@pytest.mark.parametrize("i", range(len(LONG)))
+def test_long_texts_take_linear_time(i):
+    began = time.perf_counter()
+    found = find(LONG[i])
+    assert time.perf_counter() - began < 2.5
+    assert len(found) == [10_000, 0, 20_000, 1, 10_000, 1, 0, 0, 0][i]
