@@ -8,6 +8,11 @@ by how they end. Only syntax counts, never whether a name exists.
 
 from __future__ import annotations
 
+import sys
+
+#: Calls of the parser that may be open for each word of a text.
+FRAMES_A_WORD = 24
+
 # Words that can't be a bare column, table or alias name.
 RESERVED = frozenset(
     """select from where and or not in is null insert into values update set delete join left right inner outer
@@ -560,7 +565,7 @@ class Parser:
             self.i += 1
             if w == "v" and self.d == "oracle" and self.take("."):  # :NEW.name
                 self.name()
-        elif w == "s":
+        elif w in ("s", "s$"):
             self.i += 1
             while self.now == "s":  # adjacent literals
                 self.i += 1
@@ -1329,8 +1334,14 @@ _CREATE: dict[str, tuple[str, ...]] = {
 
 def valid(words: list[str], dialect: str) -> bool:
     """Whether the shape is a script of the dialect; the empty shape is one."""
+    limit = sys.getrecursionlimit()
+    # A call of the parser takes no room on the machine's stack, only on the heap, and none goes on
+    # without taking a word or two: so deep that no text meets the limit.
+    sys.setrecursionlimit(max(limit, 2_000 + FRAMES_A_WORD * len(words)))
     try:
         Parser(words, dialect).script()
     except (Invalid, IndexError):
         return False
+    finally:
+        sys.setrecursionlimit(limit)
     return True

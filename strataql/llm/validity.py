@@ -1,8 +1,8 @@
 """Source files that do not parse: statements checked for syntax in their repository's language.
 
 A statement is cut into chunks; each chunk becomes a summary (lexer-state map and unmatched
-brackets), the summaries are reduced associatively, and only a balanced statement is parsed by the
-local grammars. The shape of a statement (its token classes) decides the parse, so verdicts are
+brackets), the summaries are reduced associatively wherever the chunks lie, and only a balanced
+statement is parsed by the local grammars. The shape of a statement (its token classes) decides the parse, so verdicts are
 kept by shape within a task.
 """
 
@@ -16,16 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataql.llm import grammar
-from strataql.llm.lexing import BACKSLASH, BACKTICK, DIALECTS, DOLLAR_QUOTE, NESTED_COMMENT, NORMAL, STATES, balanced, chunks, fold, pattern, summarize
+from strataql.llm.lexing import BACKSLASH, BACKTICK, DIALECTS, DOLLAR_QUOTE, NESTED_COMMENT, Summary, balanced, chunks, fold, pattern, summarize, without_comments
 
-#: Characters of one chunk.
+#: Characters of one chunk; longer texts are summarised in chunks wherever these land.
 CHUNK = 65_536
 #: Verdicts and token classes kept in one task.
 KEPT = 200_000
+#: Neighbouring summaries that the first step makes one.
+FAN_IN = 64
 
 
 _DOLLAR_TAG = re.compile(r"\$(?:[A-Za-z_]\w*)?\$")
-_COMMENT_MARK = re.compile(r"/\*|\*/")
 _QUOTE = re.compile(r"[A-Za-z]{0,2}('''|\"\"\"|['\"`])")
 _CLOSED = {(q, b): re.compile(rf"(?:[^{q}\\]|\\.|{q}{q})*{q}" if b else rf"(?:[^{q}]|{q}{q})*{q}", re.DOTALL) for q in "'\"`" for b in (False, True)}
 
@@ -33,12 +34,7 @@ _CLOSED = {(q, b): re.compile(rf"(?:[^{q}\\]|\\.|{q}{q})*{q}" if b else rf"(?:[^
 def _is_closed(token: str, dialect: str) -> bool:
     """Whether a quote or block comment ends with its own mark, not with the text."""
     if token.startswith("/*"):
-        if dialect not in NESTED_COMMENT:
-            return len(token) >= 4 and token.endswith("*/")
-        depth = 0
-        for m in _COMMENT_MARK.finditer(token):
-            depth += 1 if m.group() == "/*" else -1
-        return depth == 0
+        return len(token) >= 4 and token.endswith("*/")
     if dialect in DOLLAR_QUOTE and (m := _DOLLAR_TAG.match(token)):
         return len(token) >= 2 * m.end() and token.endswith(m.group())
     m = _QUOTE.match(token)
@@ -111,6 +107,8 @@ def _is_valid(text: str, dialect: str) -> bool:
     if dialect not in _classes:
         _classes[dialect], _patterns[dialect] = _Classes(dialect), pattern(dialect)
     classes = _classes[dialect]
+    if dialect in NESTED_COMMENT and text.count("/*") > 1:
+        text = without_comments(text, dialect)
     words = [classes[m.group()] for m in _patterns[dialect].finditer(text)]
     if None in words:
         return False
@@ -124,35 +122,70 @@ def _is_valid(text: str, dialect: str) -> bool:
     return verdict
 
 
-def _has_opaque(text: str, dialect: str) -> bool:
-    """Whether the text has quotes that chunk summaries don't know; its tokens alone decide then."""
-    if dialect in DOLLAR_QUOTE and "$" in text or dialect in NESTED_COMMENT and "/*" in text:
-        return True
-    if dialect == "oracle":
-        return "q'" in text or "Q'" in text
-    if dialect == "bigquery":
-        return "'''" in text or '"""' in text
-    return dialect in ("postgresql", "redshift") and ("e'" in text or "E'" in text)
-
-
 def is_valid(text: str | None, dialect: str, chunk: int = CHUNK) -> bool:
     """Syntactic validity of one statement; null, blank and comment-only texts are valid."""
     if text is None:
         return True
-    if not _has_opaque(text, dialect):
-        parts = [summarize(p, dialect, STATES if k else (NORMAL,)) for k, p in enumerate(chunks(text, chunk))]
-        if not balanced(fold(parts)):
-            return False
-    return _is_valid(text, dialect)
+    parts = chunks(text, chunk)
+    return balanced(fold(summarize(p, dialect, k == 0) for k, p in enumerate(parts))) and _is_valid(text, dialect)
 
 
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of one chunk: its summary is the whole text's, and nothing has to meet elsewhere."""
     for pdf in batches:
-        bad = [not is_valid(t, d) for t, d in zip(pdf["text"], pdf["dialect"])]
+        bad = [t is not None and not (balanced(summarize(t, d, True)) and _is_valid(t, d)) for t, d in zip(pdf["text"], pdf["dialect"])]
         yield pd.DataFrame({"repo": pdf["repo"], "file": pdf["file"], "dialect": pdf["dialect"], "bad": bad})
 
 
-def file_validity(statements: DataFrame, repositories: DataFrame, repo: str = "repo_id", file: str = "file", text: str = "raw", dialect: str = "dialect") -> DataFrame:
+def _cut(chunk: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for sha, dialect, text in zip(pdf["sha"], pdf["dialect"], pdf["text"]):
+                parts = chunks(text, chunk)
+                for at in range(0, len(parts), 64):
+                    some = parts[at : at + 64]
+                    yield pd.DataFrame({"sha": sha, "dialect": dialect, "seq": range(at, at + len(some)), "part": some})
+
+    return run
+
+
+def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        made = [summarize(p, d, k == 0).to_json() for p, d, k in zip(pdf["part"], pdf["dialect"], pdf["seq"])]
+        yield pd.DataFrame({"sha": pdf["sha"], "dialect": pdf["dialect"], "seq": pdf["seq"], "summary": made})
+
+
+def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Neighbouring summaries of one text made one."""
+    ordered = pdf.sort_values("seq")
+    one = fold(map(Summary.from_json, ordered["summary"]))
+    return pd.DataFrame({"sha": ordered["sha"][:1], "dialect": ordered["dialect"][:1], "seq": ordered["seq"][:1] // FAN_IN, "summary": one.to_json(), "balanced": balanced(one)})
+
+
+def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        bad = [not _is_valid(t, d) for t, d in zip(pdf["text"], pdf["dialect"])]
+        yield pd.DataFrame({"sha": pdf["sha"], "dialect": pdf["dialect"], "bad": bad})
+
+
+def _long_validity(long: DataFrame, chunk: int) -> DataFrame:
+    """sha, dialect, bad of texts of several chunks, each text once however often it occurs.
+
+    Chunks are rows that may lie anywhere; their summaries meet by text in two steps, neighbours
+    first. Only texts that come out balanced are parsed.
+    """
+    texts = long.select("sha", "dialect", "text").dropDuplicates(["sha", "dialect"])
+    parts = texts.mapInPandas(_cut(chunk), "sha string, dialect string, seq int, part string")
+    made = parts.repartition("sha", "seq").mapInPandas(_summaries, "sha string, dialect string, seq int, summary string")
+    kind = "sha string, dialect string, seq int, summary string, balanced boolean"
+    near = made.groupBy("sha", "dialect", F.floor(F.col("seq") / FAN_IN)).applyInPandas(_reduce, kind).drop("balanced")
+    whole = near.groupBy("sha", "dialect").applyInPandas(_reduce, kind)
+    decided = texts.join(whole.select("sha", "dialect", "balanced"), ["sha", "dialect"])
+    parsed = decided.filter("balanced").select("sha", "dialect", "text").mapInPandas(_parse, "sha string, dialect string, bad boolean")
+    return parsed.unionByName(whole.filter("NOT balanced").select("sha", "dialect", F.lit(True).alias("bad")))
+
+
+def file_validity(statements: DataFrame, repositories: DataFrame, repo: str = "repo_id", file: str = "file", text: str = "raw", dialect: str = "dialect", chunk: int = CHUNK) -> DataFrame:
     """repo, file, dialect, n_statements, n_bad for every file.
 
     `repositories` names the language of each repository (fixed table, one row a repository). Texts
@@ -165,7 +198,10 @@ def file_validity(statements: DataFrame, repositories: DataFrame, repo: str = "r
     rows = statements.select(F.col(repo).alias("repo"), F.col(file).alias("file"), F.col(text).alias("text")).join(spelt, "repo", "left")
     names = F.create_map(*[F.lit(x) for pair in DIALECTS.items() for x in pair])
     rows = rows.select("repo", "file", "text", F.coalesce(names[F.col("spelt")], F.lit("")).alias("dialect"))
-    checked = rows.mapInPandas(_check, "repo long, file string, dialect string, bad boolean")
+    is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
+    short = rows.filter(~is_long).mapInPandas(_check, "repo long, file string, dialect string, bad boolean")
+    long = rows.filter(is_long).withColumn("sha", F.sha2("text", 256))
+    checked = short.unionByName(long.select("repo", "file", "sha", "dialect").join(_long_validity(long, chunk), ["sha", "dialect"]).select("repo", "file", "dialect", "bad"))
     return checked.groupBy("repo", "file", "dialect").agg(F.count("*").alias("n_statements"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
 
 
