@@ -31,8 +31,9 @@ def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """repo_id, view_name, root_name and steps of every view."""
-    return p1_hierarchy(spark, folder).select("repo_id", "view_name", "root_name", "steps")
+    """repo_id, view_name, root_name and steps of every view: the same peeling, without its lists."""
+    found = hierarchy(_views(spark, folder), "repo_id", "node", "parents", lists=False)
+    return found.select(F.col("scope").alias("repo_id"), F.col("node").alias("view_name"), F.col("root").alias("root_name"), F.col("depth").alias("steps"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy}
