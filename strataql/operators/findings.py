@@ -1,7 +1,8 @@
 """Rules over statements: one pass for many rules, one row for every finding.
 
-All patterns of a pass are one projection of arrays of matches; the empty ones are dropped before a
-single explode, so that neither the plan nor the data grows with rules times statements.
+All patterns of a pass are columns of one projection, in generated code: the cheap tests, then the
+pattern, then its matches. What didn't match is dropped before a single explode, so that neither the
+plan nor the data grows with rules times statements.
 """
 
 from __future__ import annotations
@@ -18,15 +19,12 @@ from strataql.rules.spec import SEVERITY_WEIGHT, Rule
 from strataql.rules.text_rules import CONDITIONS
 from strataql.session import spread
 
-#: Patterns of one projection; more go into further arrays of the same pass.
-CHUNK = 40
-
 
 def prepare(statements: DataFrame, text: str = "raw", dialect: str = "dialect") -> DataFrame:
-    """Statements with `raw`, the canonical dialect and a known query type; null texts are dropped."""
+    """Statements with `raw`, its upper case, the canonical dialect and a known query type; null texts are dropped."""
     out = statements.withColumnRenamed(text, "raw") if text != "raw" else statements
     types = F.upper("query_type") if "query_type" in statements.columns else F.lit(None).cast("string")
-    return spread(out.filter("raw IS NOT NULL")).withColumns({"norm_dialect": canonical_dialect(F.col(dialect)), "query_type": types})
+    return spread(out.filter("raw IS NOT NULL")).withColumns({"raw_upper": F.upper("raw"), "norm_dialect": canonical_dialect(F.col(dialect)), "query_type": types})
 
 
 def _rule_map(rules: Iterable[Rule], value) -> Column:
@@ -57,15 +55,10 @@ def may_match(rule: Rule, upper: Column) -> Column:
     return may
 
 
-def _hits(rules: list[Rule], upper: Column) -> Column:
-    """An array of (rule_id, snippets) for the rules that match."""
-    hits = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.when(may_match(r, upper), F.regexp_extract_all("raw", F.lit(r.java_pattern), F.lit(0))).alias("snippets")) for r in rules]
-    return F.filter(F.array(*hits), lambda h: F.coalesce(F.size(h["snippets"]) > 0, F.lit(False)))
-
-
-def with_upper(build) -> Column:
-    """build(upper), with the text's upper case told once for all its uses."""
-    return F.transform(F.array(F.upper("raw")), build)[0]
+def _hit(rule: Rule, upper: Column) -> Column:
+    """(rule_id, snippets) where the rule matches, else null."""
+    matched = may_match(rule, upper) & F.col("raw").rlike(rule.java_pattern)
+    return F.when(matched, F.struct(F.lit(rule.rule_id).alias("rule_id"), F.regexp_extract_all("raw", F.lit(rule.java_pattern), F.lit(0)).alias("snippets")))
 
 
 def pattern_findings(prepared: DataFrame, rules: list[Rule], carry: list[str]) -> DataFrame:
@@ -77,9 +70,7 @@ def pattern_findings(prepared: DataFrame, rules: list[Rule], carry: list[str]) -
     """
     if not rules:
         return prepared.select(*carry).limit(0).withColumns({"rule_id": F.lit(""), "ordinal": F.lit(0), "snippet": F.lit("")})
-    chunks = [rules[at : at + CHUNK] for at in range(0, len(rules), CHUNK)]
-    every = prepared.select(*carry, with_upper(lambda u: F.concat(*[_hits(c, u) for c in chunks]) if len(chunks) > 1 else _hits(chunks[0], u)).alias("hits"))
-    one = every.filter(F.size("hits") > 0).select(*carry, F.explode("hits").alias("hit"))
+    one = prepared.select(*carry, F.explode(F.array_compact(F.array(*[_hit(r, F.col("raw_upper")) for r in rules]))).alias("hit"))
     return one.select(*carry, F.col("hit.rule_id").alias("rule_id"), F.posexplode("hit.snippets").alias("ordinal", "snippet"))
 
 
@@ -90,7 +81,7 @@ def firing(prepared: DataFrame, conditions: dict[str, Callable[[Column], Column]
     """
     if not conditions:
         return prepared.select(*carry).limit(0).withColumn("rule_id", F.lit(""))
-    names = with_upper(lambda u: F.array_compact(F.array(*[F.when(c(u), F.lit(rule_id)) for rule_id, c in conditions.items()])))
+    names = F.array_compact(F.array(*[F.when(c(F.col("raw_upper")), F.lit(rule_id)) for rule_id, c in conditions.items()]))
     return prepared.select(*carry, F.explode(names).alias("rule_id"))
 
 

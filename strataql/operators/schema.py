@@ -205,17 +205,15 @@ def history(found: DataFrame) -> DataFrame:
     statement that drops an object still sees it. A table's columns and indexes end with the table,
     also where it is created anew; a second creation of the same object ends the first.
     """
-    at = F.struct("seq", "step")
     own = Window.partitionBy("scope", "kind", "table_name", "name").orderBy("seq", "step")
     objects = found.withColumn("next_seq", F.lead("seq").over(own)).filter("action = 'create'")
-    tables = found.filter("kind = 'table'").select("scope", "table_name", F.col("seq").alias("t_seq"), F.col("step").alias("t_step"))
+    # One window over a table's events tells when it is next created or dropped.
+    later = Window.partitionBy("scope", "table_name").orderBy("seq", "step").rowsBetween(1, Window.unboundedFollowing)
+    ends = found.filter("kind = 'table'").select("scope", "table_name", "seq", "step", F.lit(True).alias("ends"))
     parts = objects.filter(F.col("kind").isin("column", "index"))
-    ended = (
-        parts.join(tables, ["scope", "table_name"], "left")
-        .groupBy("scope", "kind", "table_name", "name", "seq", "step")
-        .agg(F.min(F.when(F.struct("t_seq", "t_step") > at, F.col("t_seq"))).alias("table_end"))
-    )
-    whole = objects.join(ended, ["scope", "kind", "table_name", "name", "seq", "step"], "left")
+    marked = parts.withColumn("ends", F.lit(False)).unionByName(ends, allowMissingColumns=True)
+    ended = marked.withColumn("table_end", F.min(F.when(F.col("ends"), F.col("seq"))).over(later)).filter("NOT ends").drop("ends")
+    whole = ended.unionByName(objects.filter(~F.col("kind").isin("column", "index")), allowMissingColumns=True)
     return whole.withColumns({"valid_from": F.col("seq"), "valid_to": F.least("next_seq", "table_end")}).drop("next_seq", "table_end", "action", "step")
 
 
@@ -249,19 +247,3 @@ def missing_tables(uses: DataFrame, tables: DataFrame) -> DataFrame:
     return uses.withColumn("table_name", F.lower("table_name")).join(known, ["scope", "table_name"], "left_anti").distinct()
 
 
-def missing_columns(uses: DataFrame, columns: DataFrame) -> DataFrame:
-    """SCHEMA-COL-001: (scope, key, column_name) of columns that no table of the schema has."""
-    known = columns.select("scope", F.lower("name").alias("column_name")).distinct()
-    return uses.withColumn("column_name", F.lower("column_name")).join(known, ["scope", "column_name"], "left_anti").distinct()
-
-
-def unindexed(uses: DataFrame, columns: DataFrame, indexes: DataFrame) -> DataFrame:
-    """SCHEMA-IDX-001: (scope, key, table_name, column_name) of filtered columns without an index on just them.
-
-    `uses` has scope, key, table_name, column_name of WHERE columns; only columns that the schema
-    has count.
-    """
-    there = columns.select("scope", F.lower("table_name").alias("table_name"), F.lower("name").alias("column_name")).distinct()
-    single = indexes.filter(F.size("columns") == 1).select("scope", F.lower("table_name").alias("table_name"), F.lower(F.col("columns")[0]).alias("column_name")).distinct()
-    low = uses.withColumns({"table_name": F.lower("table_name"), "column_name": F.lower("column_name")})
-    return low.join(there, ["scope", "table_name", "column_name"], "left_semi").join(single, ["scope", "table_name", "column_name"], "left_anti").distinct()

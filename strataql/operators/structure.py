@@ -61,7 +61,7 @@ def _is_name(token: str) -> bool:
 
 def _new(fid: int, parent: int, depth: int, kind: str, role: str) -> dict:
     f: dict = {"id": fid, "parent": parent, "depth": depth, "kind": kind, "role": role, "clause": "projection" if kind == "SELECT" else "head", "object_kind": None, "object_name": None, "where_text": None, "insert_from": None, "offset_value": None}
-    for name in ("projected", "tables", "dbs", "table_aliases", "aliases", "joins", "left_aliases", "where_cols", "group_cols", "order_cols", "aggs", "funcs", "eqs", "likes", "qualifiers", "columns", "insert_cols", "set_cols", "coldefs", "fk_cols", "indexed_cols", "lt_cols"):
+    for name in ("projected", "tables", "dbs", "table_aliases", "aliases", "joins", "left_aliases", "where_cols", "group_cols", "order_cols", "aggs", "funcs", "eqs", "likes", "qualifiers", "columns", "insert_cols", "set_cols", "coldefs", "fk_cols", "indexed_cols", "lt_cols", "refs"):
         f[name] = []
     for name in ("distinct", "star", "any_star", "has_where", "where_func", "has_group", "has_having", "has_order", "has_limit", "has_offset", "not_in_select", "self_cte", "self_assign", "grant_all", "reserved"):
         f[name] = False
@@ -78,13 +78,18 @@ _HEADS = frozenset("UPDATE DELETE INSERT MERGE CREATE DROP ALTER TRUNCATE GRANT
 
 def frames(text: str) -> list[dict]:
     """The frames of one statement, in the order in which they begin."""
-    w = words(text)
+    return _frames(words(text))
+
+
+def _frames(w: list[str]) -> list[dict]:
     n = len(w)
     up = [t.upper() for t in w]
     out: list[dict] = []
     stack: list[tuple[dict | None, str, str]] = []  # (frame before the bracket, what the bracket is, that frame's clause)
     now: dict | None = None
     cases: list[list] = []
+    level = _levels(w, up)
+    within = None  # told when a bracket first asks
 
     def begin(kind: str, role: str) -> dict:
         parent = next((f["id"] for f, _, _ in reversed(stack) if f is not None), -1) if role != "root" else -1
@@ -99,6 +104,8 @@ def frames(text: str) -> list[dict]:
         nxt = up[i + 1] if i + 1 < n else ""
         if u == "(":
             role = "group"
+            if within is None and i and up[i - 1] not in ("AS", "FROM", "JOIN", "VALUES", ","):
+                within = _brackets(w, up)
             if nxt in ("SELECT", "WITH"):
                 role = "cte" if i and up[i - 1] in ("AS", "MATERIALIZED") and now is None else "subquery"
                 if role == "subquery" and now is not None:
@@ -107,35 +114,17 @@ def frames(text: str) -> list[dict]:
                         now["not_in_select"] = True
             elif i and up[i - 1] == "OVER":
                 role = "over"
-                depth, j, partitioned = 0, i, False
-                while j < n:
-                    depth += (w[j] == "(") - (w[j] == ")")
-                    partitioned = partitioned or (up[j] == "PARTITION")
-                    if depth == 0:
-                        break
-                    j += 1
-                if now is not None and not partitioned:
+                if now is not None and not within[0].get(i):
                     now["bare_windows"] += 1
             elif i and up[i - 1] == "IN" and now is not None:
-                j, literals = i + 1, 0
-                while j < n and w[j] != ")":
-                    literals += w[j][0] == "'" or w[j][0].isdigit()
-                    j += 1
-                now["max_in"] = max(now["max_in"], literals)
+                now["max_in"] = max(now["max_in"], within[1].get(i, 0))
             elif i and _is_name(w[i - 1]) and w[i - 1][0] not in "\"`[" and now is not None and not (now["kind"] in ("INSERT", "CREATE") and now["clause"] in ("head", "into")):
                 name = up[i - 1]
                 now["funcs"].append(name)
                 if name in AGGREGATES:
                     now["aggs"].append(name)
-                if now["clause"] == "where":
-                    depth, j = 0, i
-                    while j < n:
-                        depth += (w[j] == "(") - (w[j] == ")")
-                        if depth == 0:
-                            break
-                        if depth and _is_name(w[j]) and (j + 1 >= n or w[j + 1] != "("):
-                            now["where_func"] = True
-                        j += 1
+                if now["clause"] == "where" and within[2].get(i):
+                    now["where_func"] = True
                 role = "call"
             stack.append((now, role, now["clause"] if now is not None else ""))
             if role == "over" and now is not None:
@@ -192,7 +181,7 @@ def frames(text: str) -> list[dict]:
         elif u == ";" and not stack:
             now = None
         elif now is not None:
-            _word(w, up, i, now, cases)
+            _word(w, up, i, now, cases, level)
         i += 1
     for f in out:
         f["where_text"] = " ".join(f.pop("_where")) or None
@@ -201,21 +190,36 @@ def frames(text: str) -> list[dict]:
     return out
 
 
+def _ctes(w: list[str], up: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """Where the brackets of each common table expression are, by its lower-case name."""
+    out: dict[str, list[tuple[int, int]]] = {}
+    open_now: list[tuple[int, str]] = []
+    for i, t in enumerate(w):
+        if t == "(":
+            is_cte = i > 1 and up[i - 1] == "AS" and _is_name(w[i - 2]) and i > 2 and up[i - 3] in ("WITH", "RECURSIVE", ",")
+            open_now.append((i, bare(w[i - 2]).lower() if is_cte else ""))
+        elif t == ")" and open_now:
+            at, name = open_now.pop()
+            if name:
+                out.setdefault(name, []).append((at, i))
+    for at, name in open_now:
+        if name:
+            out.setdefault(name, []).append((at, len(w)))
+    return out
+
+
 def _recursion(w: list[str], up: list[str], out: list[dict]) -> None:
     """A CTE that reads itself, anywhere within its own brackets."""
-    for i in range(len(w) - 2):
-        if up[i + 1] == "AS" and w[i + 2] == "(" and _is_name(w[i]) and i and up[i - 1] in ("WITH", "RECURSIVE", ","):
-            name, depth, j = bare(w[i]).lower(), 0, i + 2
-            while j < len(w):
-                depth += (w[j] == "(") - (w[j] == ")")
-                if up[j] in ("FROM", "JOIN") and j + 1 < len(w) and bare(w[j + 1]).lower() == name and out:
-                    out[0]["self_cte"] = True
-                if depth == 0:
-                    break
-                j += 1
-
-
-def _word(w: list[str], up: list[str], i: int, now: dict, cases: list) -> None:
+    ctes = _ctes(w, up)
+    if not ctes or not out:
+        return
+    for j in range(len(w) - 1):
+        if up[j] in ("FROM", "JOIN") and any(a < j <= b for a, b in ctes.get(bare(w[j + 1]).lower(), ())):
+            out[0]["self_cte"] = True
+            return
+
+
+def _word(w: list[str], up: list[str], i: int, now: dict, cases: list, level: list[int]) -> None:
     t, u = w[i], up[i]
     n = len(w)
     prev, nxt = up[i - 1] if i else "", up[i + 1] if i + 1 < n else ""
@@ -278,9 +282,9 @@ def _word(w: list[str], up: list[str], i: int, now: dict, cases: list) -> None:
         now["star"] = now["star"] or direct
         now["any_star"] = now["any_star"] or direct or prev == "("
     elif u == ",":
-        if clause == "projection" and _level(w, i) == 0:
+        if clause == "projection" and level[i] == 0:
             now["n_projections"] += 1
-        elif clause == "from" and _level(w, i) == 0:
+        elif clause == "from" and level[i] == 0:
             now["n_from"] += 1
     elif u in ("JOIN",):
         kind = next((up[k] for k in range(i - 1, max(-1, i - 4), -1) if up[k] in ("LEFT", "RIGHT", "FULL", "CROSS", "INNER", "NATURAL")), "INNER")
@@ -304,20 +308,44 @@ def _word(w: list[str], up: list[str], i: int, now: dict, cases: list) -> None:
     elif u == "AS" and i + 1 < n and _is_name(w[i + 1]):
         now["aliases"].append(bare(w[i + 1]).lower())
     elif _is_name(t):
-        _name(w, up, i, now)
+        _name(w, up, i, now, level)
+
+
+def _levels(w: list[str], up: list[str]) -> list[int]:
+    """For each token 0 where it stands directly in a statement or a query's own brackets, else 1."""
+    out, open_now, now = [], [], 0
+    for i, t in enumerate(w):
+        if t == ")" and open_now:
+            now = open_now.pop()
+        out.append(now)
+        if t == "(":
+            open_now.append(now)
+            now = 0 if i + 1 < len(w) and up[i + 1] in ("SELECT", "WITH") else 1
+    return out
 
 
-def _level(w: list[str], i: int) -> int:
-    """Bracket depth at i since the frame's own bracket; 0 where the comma is the frame's own."""
-    depth = 0
-    for k in range(i - 1, -1, -1):
-        if w[k] == ")":
-            depth += 1
-        elif w[k] == "(":
-            if depth == 0:
-                return 0 if k + 1 < len(w) and w[k + 1].upper() in ("SELECT", "WITH") else 1
-            depth -= 1
-    return 0
+def _brackets(w: list[str], up: list[str]) -> tuple[dict, dict, dict]:
+    """By opening bracket: whether PARTITION is within, literals directly before the first close, whether a bare name is within."""
+    close: dict[int, int] = {}
+    partitions, literal_count, names = [0], [0], [0]
+    for i, t in enumerate(w):
+        partitions.append(partitions[-1] + (up[i] == "PARTITION"))
+        literal_count.append(literal_count[-1] + (t[0] == "'" or t[0].isdigit()))
+        names.append(names[-1] + (_is_name(t) and (i + 1 >= len(w) or w[i + 1] != "(")))
+    first_close = len(w)
+    open_now: list[int] = []
+    firsts: dict[int, int] = {}
+    for i in range(len(w) - 1, -1, -1):
+        if w[i] == ")":
+            first_close = i
+            open_now.append(i)
+        elif w[i] == "(":
+            close[i] = open_now.pop() if open_now else len(w)
+            firsts[i] = first_close
+    partitioned = {i: partitions[j] > partitions[i] for i, j in close.items()}
+    literals = {i: literal_count[j] - literal_count[i] for i, j in firsts.items()}
+    named = {i: names[j] > names[i] for i, j in close.items()}
+    return partitioned, literals, named
 
 
 def _operand_column(w: list[str], i: int, step: int) -> str:
@@ -337,12 +365,12 @@ def _operand_column(w: list[str], i: int, step: int) -> str:
     return ""
 
 
-def _name(w: list[str], up: list[str], i: int, now: dict) -> None:
+def _name(w: list[str], up: list[str], i: int, now: dict, level: list[int]) -> None:
     n = len(w)
     prev, nxt = up[i - 1] if i else "", up[i + 1] if i + 1 < n else ""
     clause = now["clause"]
     name = bare(w[i])
-    table_place = prev in ("FROM", "JOIN", "INTO", "UPDATE", "USING", "ONLY") or (clause == "from" and prev == "," and _level(w, i) == 0 and "ON" not in up[max(0, i - 2) : i])
+    table_place = prev in ("FROM", "JOIN", "INTO", "UPDATE", "USING", "ONLY") or (clause == "from" and prev == "," and level[i] == 0 and "ON" not in up[max(0, i - 2) : i])
     if table_place or (prev == "TABLE" and now["kind"] in ("DROP", "TRUNCATE", "ALTER")):
         k, db = i, ""
         while k + 2 < n and w[k + 1] == ".":
@@ -380,7 +408,8 @@ def _name(w: list[str], up: list[str], i: int, now: dict) -> None:
         now["aliases"].append(low)
         return
     now["columns"].append(low)
-    if clause == "projection" and _level(w, i) == 0:
+    now["refs"].append(_reference(w, up, i, low, clause))
+    if clause == "projection" and level[i] == 0:
         now["projected"].append(low)
     elif clause == "where":
         now["where_cols"].append(low)
@@ -390,6 +419,18 @@ def _name(w: list[str], up: list[str], i: int, now: dict) -> None:
         now["order_cols"].append(low)
 
 
+def _reference(w: list[str], up: list[str], i: int, name: str, clause: str) -> tuple[str, str, str, str | None, bool]:
+    """(qualifier, column, clause, JSON key taken from it, whether it stands alone under an alias)."""
+    qualifier = bare(w[i - 2]).lower() if i > 1 and w[i - 1] == "." else ""
+    nxt = w[i + 1] if i + 1 < len(w) else ""
+    key = bare_text(w[i + 2]) if nxt in ("->", "->>") and i + 2 < len(w) else None
+    return qualifier, name, clause, key, clause == "projection" and (nxt.upper() == "AS" or bool(nxt) and _is_name(nxt))
+
+
+def bare_text(token: str) -> str:
+    return token[1:-1] if token[0] == "'" and len(token) > 1 else token
+
+
 def _table_items(w: list[str], up: list[str], k: int, now: dict) -> None:
     """Columns, foreign keys and inline indexes of CREATE TABLE."""
     if k >= len(w) or w[k] != "(":

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from strataql.functions.dialects import canonical_dialect_sql, gate_sql
 from strataql.functions.predicates import sql_text
 from strataql.operators.findings import firing, may_match, node_findings, pattern_findings, prepare, text_findings, with_rule_columns
+from strataql.operators.schema_rules import project_findings
+from strataql.operators.splitting import statement_type
 from strataql.operators.structure import nodes, structured
+from strataql.plans import corpus
 from strataql.rules import catalog
 from strataql.rules.spec import CRITICAL, PATTERN, Rule
 from strataql.rules.text_rules import CONDITIONS, NO_FORM, UNFILTERED_COUNT, WITHOUT_LOOKAROUND
@@ -52,6 +55,41 @@ def _fires(rule: Rule):
     return lambda upper: may_match(rule, upper) & F.col("raw").rlike(rule.java_pattern)
 
 
+def rules_by_context(spark: SparkSession, folder: str) -> DataFrame:
+    """Statements on which each pattern fires that has no form without lookaround."""
+    conditions = {r.rule_id: _fires(r) for r in catalog.all_rules() if r.rule_id in NO_FORM}
+    return firing(prepared(spark, folder), conditions, ["stmt_id"]).groupBy("rule_id").agg(F.count("*").alias("n_statements"))
+
+
+def every_finding(statements: DataFrame, carry: list[str]) -> DataFrame:
+    """Carried columns and rule_id of every finding of all rules over single statements."""
+    ready = prepare(statements)
+    rules = catalog.all_rules()
+    found = pattern_findings(ready, [r for r in rules if r.kind == PATTERN], carry).select(*carry, "rule_id")
+    found = found.unionByName(text_findings(ready, rules, carry, {UNFILTERED_COUNT: CONDITIONS[UNFILTERED_COUNT]}))
+    counted = node_findings(structured(statements, carry), carry)
+    return found.unionByName(counted.select(*carry, F.explode(F.array_repeat("rule_id", F.col("n_findings"))).alias("rule_id")))
+
+
+def rules_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Findings and statements of every rule of the catalogue over single statements: patterns, texts, structure."""
+    found = every_finding(table(spark, folder, "statements"), ["stmt_id"])
+    return found.groupBy("rule_id").agg(F.count("*").alias("n_findings"), F.count_distinct("stmt_id").alias("n_statements"))
+
+
+def rules_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Each rule over texts written for it: how many on which it must fire do, and of the others don't.
+
+    The texts don't depend on the folder's tables; rules over several statements see those of a case.
+    """
+    cases = spark.createDataFrame(corpus.rows(), "case long, rule_id string, fires boolean, seq long, dialect string, raw string")
+    texts = cases.select("case", "seq", "dialect", "raw", statement_type(F.col("raw")).alias("query_type"), (F.col("case") * 100 + F.col("seq")).alias("stmt_id"))
+    found = every_finding(texts, ["case"]).unionByName(project_findings(texts, "case", "seq").select(F.col("scope").alias("case"), "rule_id"))
+    fired = found.distinct().withColumn("fired", F.lit(True))
+    each = cases.filter("seq = 0").join(fired, ["case", "rule_id"], "left").withColumn("fired", F.coalesce("fired", F.lit(False)))
+    return each.groupBy("rule_id").agg(F.count_if(F.col("fires") & F.col("fired")).alias("n_firing"), F.count_if(~F.col("fires") & ~F.col("fired")).alias("n_silent"))
+
+
 def rules_lookaround(spark: SparkSession, folder: str) -> DataFrame:
     """Statements on which each pattern with lookaround fires."""
     rules = _looking()
@@ -156,6 +194,9 @@ DIMENSIONS = ("security", "performance", "reliability", "compliance", "quality",
 
 QUERIES = {f"rules_{d}": _by_pattern(d) for d in DIMENSIONS} | {
     "rules_lookaround": rules_lookaround,
+    "rules_by_context": rules_by_context,
+    "rules_all": rules_all,
+    "rules_corpus": rules_corpus,
     "rules_text": rules_text,
     "rules_from_table": rules_from_table,
     "rules_nodes": rules_nodes,
@@ -174,6 +215,7 @@ def _stats_values() -> str:
 
 SQL = {f"rules_{d}": _pattern_sql(d) for d in DIMENSIONS} | {
     "rules_lookaround": _lookaround_sql(),
+    "rules_corpus": "SELECT rule_id, 1::BIGINT AS n_firing, 1::BIGINT AS n_silent FROM (VALUES " + ", ".join(f"('{rule}')" for rule, *_ in corpus.PAIRS) + ") t(rule_id)",
     "rules_text": _text_sql(),
     "rules_from_table": f"""
 WITH {PREPARED_SQL}, found AS (

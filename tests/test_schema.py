@@ -1,6 +1,7 @@
 import pytest
 
 from strataql.operators import project, schema
+from strataql.operators.schema_rules import project_findings
 from strataql.sources import migrations as mg
 
 DDL = [
@@ -50,13 +51,32 @@ def test_history_and_rules(spark, found):
     cur = schema.current(h)
     uses = spark.createDataFrame([("r", 1, "Users"), ("r", 2, "nowhere"), ("s", 3, "users")], "scope string, key long, table_name string")
     assert {(r.scope, r.table_name) for r in schema.missing_tables(uses, cur.filter("kind = 'table'")).collect()} == {("r", "nowhere"), ("s", "users")}
-    cu = spark.createDataFrame([("r", 1, "EMAIL"), ("r", 2, "nope")], "scope string, key long, column_name string")
-    assert [r.column_name for r in schema.missing_columns(cu, cur.filter("kind = 'column'")).collect()] == ["nope"]
-    wu = spark.createDataFrame([("r", 1, "users", "email"), ("r", 2, "users", "age"), ("r", 3, "users", "nope")], "scope string, key long, table_name string, column_name string")
-    assert [r.column_name for r in schema.unindexed(wu, cur.filter("kind = 'column'"), cur.filter("kind = 'index'")).collect()] == ["age"]
     assert schema.history(found.limit(0)).collect() == []
 
 
+READS = [
+    (20, "SELECT email FROM Users WHERE email = 'x'", set()),
+    (21, "SELECT email FROM nowhere", {("SCHEMA-TBL-001", "nowhere")}),
+    (22, "SELECT users.nope, u.nope, nada, x AS y FROM users u", {("SCHEMA-COL-001", "users.nope"), ("SCHEMA-COL-001", "nada")}),
+    (23, "SELECT nada FROM (SELECT id FROM users) q", set()),
+    (24, "WITH q AS (SELECT id FROM users) SELECT nada FROM q", set()),
+    (25, "SELECT email FROM users u WHERE u.age > 3 AND id = 1", {("SCHEMA-IDX-001", "age")}),
+    (26, "SELECT u.email FROM users u JOIN orders o ON o.id = u.id WHERE age = 3 AND o.id = 5", {("SCHEMA-IDX-001", "id")}),
+    (27, "UPDATE users SET age = 3 WHERE x ->> 'k' = 'v'", {("SCHEMA-IDX-001", "x")}),
+    (28, None, set()),
+]
+
+
+def test_reads_against_the_schema(spark):
+    rows = [("r", s, t) for s, t in DDL] + [(scope, s, t) for scope in ("r", "bare") for s, t, _ in READS]
+    df = spark.createDataFrame(rows, "repo string, at long, body string").selectExpr("*", "'z' AS scope", "1 AS seq", "'z' AS raw")
+    got = {(r.scope, r.seq, r.rule_id, r.snippet): r for r in project_findings(df, "repo", "at", "body").collect() if r.rule_id[:7] == "SCHEMA-" and r.seq >= 20}
+    assert set(got) == {("r", s, *w) for s, _, want in READS for w in want}
+    assert got["r", 25, "SCHEMA-IDX-001", "age"].replacement == "CREATE INDEX idx_users_age ON users(age);"
+    assert got["r", 27, "SCHEMA-IDX-001", "x"].replacement == "CREATE INDEX idx_users_x_gin ON users USING GIN (x);"
+    assert project_findings(df.limit(0), "repo", "at", "body").collect() == []
+
+
 def test_project_rules(spark):
     rows = [
         (1, "CREATE VIEW unused_v AS SELECT 1"), (2, "CREATE VIEW used_v AS SELECT 1"), (3, "SELECT * FROM Used_V WHERE a = 1"), (4, "SELECT * FROM  Used_V WHERE a = 2"),
