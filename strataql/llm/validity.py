@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from strataql.llm import grammar
 from strataql.llm.lexing import BACKSLASH, BACKTICK, DIALECTS, DOLLAR_QUOTE, NESTED_COMMENT, Summary, balanced, chunks, fold, pattern, summarize, without_comments
+from strataql.session import written
 
 #: Characters of one chunk; longer texts are summarised in chunks wherever these land.
 CHUNK = 65_536
@@ -130,11 +131,16 @@ def is_valid(text: str | None, dialect: str, chunk: int = CHUNK) -> bool:
     return balanced(fold(summarize(p, dialect, k == 0) for k, p in enumerate(parts))) and _is_valid(text, dialect)
 
 
-def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts of one chunk: its summary is the whole text's, and nothing has to meet elsewhere."""
-    for pdf in batches:
-        bad = [t is not None and not (balanced(summarize(t, d, True)) and _is_valid(t, d)) for t, d in zip(pdf["text"], pdf["dialect"])]
-        yield pd.DataFrame({"repo": pdf["repo"], "file": pdf["file"], "dialect": pdf["dialect"], "bad": bad})
+def _check(chunk: int):
+    """Texts of one chunk: its summary is the whole text's. Longer ones go on with their text and no verdict."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            far = [t is not None and len(t) > chunk for t in pdf["text"]]
+            bad = [None if f else t is not None and not (balanced(summarize(t, d, True)) and _is_valid(t, d)) for t, d, f in zip(pdf["text"], pdf["dialect"], far)]
+            yield pd.DataFrame({"repo": pdf["repo"], "file": pdf["file"], "dialect": pdf["dialect"], "bad": bad, "text": [t if f else None for t, f in zip(pdf["text"], far)]})
+
+    return run
 
 
 def _cut(chunk: int):
@@ -198,10 +204,11 @@ def file_validity(statements: DataFrame, repositories: DataFrame, repo: str = "r
     rows = statements.select(F.col(repo).alias("repo"), F.col(file).alias("file"), F.col(text).alias("text")).join(spelt, "repo", "left")
     names = F.create_map(*[F.lit(x) for pair in DIALECTS.items() for x in pair])
     rows = rows.select("repo", "file", "text", F.coalesce(names[F.col("spelt")], F.lit("")).alias("dialect"))
-    is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short = rows.filter(~is_long).mapInPandas(_check, "repo long, file string, dialect string, bad boolean")
-    long = rows.filter(is_long).withColumn("sha", F.sha2("text", 256))
-    checked = short.unionByName(long.select("repo", "file", "sha", "dialect").join(_long_validity(long, chunk), ["sha", "dialect"]).select("repo", "file", "dialect", "bad"))
+    checked = written(rows.mapInPandas(_check(chunk), "repo long, file string, dialect string, bad boolean, text string"), "checked", long=F.count("text"))
+    if checked.counts["long"]:
+        long = checked.filter("text IS NOT NULL").select("repo", "file", "dialect", "text", F.sha2("text", 256).alias("sha"))
+        met = long.join(_long_validity(long, chunk), ["sha", "dialect"]).select("repo", "file", "dialect", "bad")
+        checked = checked.filter("text IS NULL").drop("text").unionByName(met)
     return checked.groupBy("repo", "file", "dialect").agg(F.count("*").alias("n_statements"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
 
 
