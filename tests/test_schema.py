@@ -95,8 +95,8 @@ MIGRATIONS = [
     ("fly/V10__b.sql", "DROP TABLE t"), ("fly/V2__a.sql", "CREATE TABLE t (a INT)"), ("fly/readme.md", "x"),
     ("liq/c.sql", "--liquibase formatted sql\n--changeset bob:1\nCREATE TABLE a (x INT);\n--changeset bob:2\nDROP TABLE a;\n"),
     ("prj/migrations/2024_b/migration.sql", "DROP TABLE z"), ("prj/migrations/2023_a/migration.sql", "CREATE TABLE z (a INT)"),
-    ("alb/versions/1_x.py", "revision = 'a1'\ndown_revision = None\ndef upgrade():\n    op.create_table('users', sa.Column('id', sa.Integer()), sa.Column('n', sa.String()))\n    op.create_index('ix', 'users', ['n'])\n"),
-    ("alb/versions/2_y.py", "revision = 'a2'\ndown_revision = 'a1'\ndef upgrade():\n    op.drop_column('users', 'n')\n    op.add_column('users', sa.Column('m', sa.Integer()))\n    op.execute('DROP TABLE users')\n"),
+    ("alb/versions/1_x.py", "revision = 'z1'\ndown_revision = None\ndef upgrade():\n    op.create_table('users', sa.Column('id', sa.Integer()), sa.Column('n', sa.String()))\n    op.create_index('ix', 'users', ['n'])\n"),
+    ("alb/versions/2_y.py", "revision = 'a2'\ndown_revision = 'z1'\ndef upgrade():\n    op.drop_column('users', 'n')\n    op.add_column('users', sa.Column('m', sa.Integer()))\n    op.execute('DROP TABLE users')\n"),
     ("dj/migrations/0001_initial.py", "class Migration(m.Migration):\n    dependencies = [('x', '0000')]\n    operations = [m.CreateModel(name='Item', fields=[('id', f()), ('n', f())]), m.RunSQL('SELECT 1')]\n"),
     ("dj/migrations/0002_more.py", "class Migration(m.Migration):\n    operations = [m.RemoveField(model_name='Item', name='n'), m.AddField('Item', 'k', f()), m.DeleteModel(name='Item')]\n"),
     ("bad.py", "def ("), ("empty.sql", ""), ("none.sql", None),
@@ -106,14 +106,60 @@ MIGRATIONS = [
 def test_migrations(spark):
     df = spark.createDataFrame(MIGRATIONS, "file string, content string")
     got = {(r.framework, r.seq): r for r in mg.migrations(df).collect()}
-    assert {k: got[k].version for k in got} == {("flyway", 1): "2", ("flyway", 2): "10", ("liquibase", 1): "c_0_1", ("liquibase", 2): "c_1_2", ("prisma", 1): "2023_a", ("prisma", 2): "2024_b", ("alembic", 1): "a1", ("alembic", 2): "a2", ("django", 1): "0001_initial", ("django", 2): "0002_more"}
-    assert got["alembic", 1].content == "CREATE TABLE users (id INT, n INT);\nCREATE INDEX ix ON users (n);" and got["alembic", 2].depends_on == ["a1"]
-    assert got["alembic", 2].content == "ALTER TABLE users DROP COLUMN n;\nALTER TABLE users ADD COLUMN m INT;\nDROP TABLE users;"
-    assert got["django", 1].content == "CREATE TABLE item (id INT, n INT);\nSELECT 1;" and got["django", 1].depends_on == ["0000"]
-    from strataql.operators.splitting import split_sources
-
-    scripts = mg.migrations(df).selectExpr("concat_ws('/', framework, project) AS scope", "seq * 1000 AS base", "concat_ws('|', framework, project, seq) AS file", "content")
-    pieces = split_sources(scripts).join(scripts.select("file", "scope", "base"), "file").selectExpr("scope", "base + query_index AS seq", "raw")
-    events = schema.ddl_events(pieces, "scope", "seq")
+    assert {k: got[k].version for k in got} == {("flyway", 1): "2", ("flyway", 2): "10", ("liquibase", 1): "c_0_1", ("liquibase", 2): "c_1_2", ("prisma", 1): "2023_a", ("prisma", 2): "2024_b", ("alembic", 1): "z1", ("alembic", 2): "a2", ("django", 1): "0001_initial", ("django", 2): "0002_more"}
+    assert got["alembic", 1].content == "CREATE TABLE users (id INTEGER, n VARCHAR);\nCREATE INDEX ix ON users (n);" and got["alembic", 2].depends_on == ["z1"]
+    assert got["alembic", 2].content == "ALTER TABLE users DROP COLUMN n;\nALTER TABLE users ADD COLUMN m INTEGER;\nDROP TABLE users;"
+    assert got["django", 1].content == "CREATE TABLE item (id TEXT NOT NULL, n TEXT NOT NULL);\nSELECT 1;" and got["django", 1].depends_on == ["0000"]
+    events = mg.migration_events(mg.statements_of(mg.migrations(df)))
     broken = {(r.scope.split("/")[0], r.kind, r.name) for r in schema.breaking_changes(events, schema.history(events)).collect()}
     assert broken == {("flyway", "table", "t"), ("liquibase", "table", "a"), ("prisma", "table", "z"), ("alembic", "column", "n"), ("alembic", "table", "users"), ("django", "column", "n"), ("django", "table", "item")}
+    assert mg.migrations(df.limit(0)).collect() == []
+
+
+ALEMBIC = """
+revision: str = 'r2'
+down_revision = ('r1', 'r0')
+def upgrade():
+    op.create_table('t', sa.Column('id', sa.BigInteger(), primary_key=True), sa.Column('u', sa.Integer, sa.ForeignKey('users.id'), nullable=False), sa.Column('k', sa.String(9), unique=True),
+        sa.PrimaryKeyConstraint('id'), sa.ForeignKeyConstraint(['k'], ['keys.k']))
+    op.create_table('bare')
+    if True:
+        op.rename_table('a', 'b')
+    with op.batch_alter_table('t') as batch:
+        batch.add_column(sa.Column('x', sa.DateTime(), server_default='now'))
+        batch.alter_column('k', new_column_name='kk')
+        batch.drop_index('ix')
+    op.alter_column('t', 'x', type_=sa.Text(), nullable=True)
+    op.execute(f"DROP TABLE {x}")
+    op.bulk_insert(t, [])
+    other.drop_table('no')
+def downgrade():
+    op.drop_table('t')
+"""
+DJANGO = """
+class Migration(migrations.Migration):
+    operations = [
+        migrations.CreateModel('Book', [('id', models.BigAutoField(primary_key=True)), ('author', models.ForeignKey(to='app.Author', null=True)), ('tags', models.ManyToManyField('Tag'))], options={'db_table': 'books'}),
+        migrations.AlterField('Book', 'title', models.CharField(max_length=9, unique=True)),
+        migrations.RenameField('Book', 'a', 'b'), migrations.RenameModel('Old', 'New'),
+        migrations.AddIndex('Book', models.Index(fields=['title'], name='ix')), migrations.RemoveIndex('Book', 'ix'),
+        migrations.SeparateDatabaseAndState(database_operations=[migrations.RunSQL("DELETE FROM books;", "")]), migrations.RunPython(f),
+    ]
+"""
+
+
+def test_operations():
+    (framework, _, version, follows, steps), = mg.scripts("p/x.py", ALEMBIC)
+    assert (framework, version, follows) == ("alembic", "r2", ["r1", "r0"])
+    assert [sql for sql, _ in steps] == [
+        "CREATE TABLE t (id BIGINT PRIMARY KEY, u INTEGER NOT NULL REFERENCES users(id), k VARCHAR UNIQUE REFERENCES keys(k));", "CREATE TABLE bare;", "ALTER TABLE a RENAME TO b;",
+        "ALTER TABLE t ADD COLUMN x TIMESTAMP;", "ALTER TABLE t RENAME COLUMN k TO kk;", "DROP INDEX ix;", "ALTER TABLE t ADD COLUMN x TEXT;",
+    ]
+    assert [(e["kind"], e["action"], e["name"]) for e in steps[2][1]] == [("table", "drop", "a"), ("table", "create", "b")]
+    (framework, _, version, _, steps), = mg.scripts("p/0001_x.py", DJANGO)
+    assert (framework, version) == ("django", "0001_x")
+    assert [sql for sql, _ in steps] == [
+        "CREATE TABLE books (id BIGINT PRIMARY KEY, author_id INTEGER REFERENCES author(id));", "ALTER TABLE book ADD COLUMN title VARCHAR NOT NULL UNIQUE;", "ALTER TABLE book RENAME COLUMN a TO b;",
+        "ALTER TABLE old RENAME TO new;", "CREATE INDEX ix ON book (title);", "DROP INDEX ix;", "DELETE FROM books;",
+    ]
+    assert mg.scripts("p/y.py", "def (") == [] and mg.scripts("p/__init__.py", "revision = 'x'") == []

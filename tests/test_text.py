@@ -63,6 +63,13 @@ def test_extract():
 </mapper>"""
     got = ex.from_mapper(xml)
     assert got == [("SELECT a FROM t WHERE b = ? ORDER BY __DYNAMIC__", 2, 3, True), ("UPDATE t SET a = ? WHERE id = 1", 3, 3, True), ("INSERT INTO t VALUES (1)", 4, 3, False)]
+    full = """<mapper><!-- all -->
+  <sql id="cols">a, b</sql>
+  <select id="x">SELECT <include refid="ns.cols"/> FROM t <where>OR <choose><when test="p">c = 1</when><otherwise>AND d = 2</otherwise></choose></where>
+    <trim prefix="AND (" suffix=")" prefixOverrides="AND |OR " suffixOverrides="OR|,">and e IN <foreach collection="es" item="e" open="(" close=")" separator=",">#{e}</foreach> or</trim></select>
+  <insert id="y"><selectKey keyProperty="id">SELECT 7</selectKey>INSERT INTO t <set></set>VALUES (#{v})</insert>
+</mapper>"""
+    assert [(raw, dynamic) for raw, _, _, dynamic in ex.from_mapper(full)] == [("a, b", False), ("SELECT a, b FROM t WHERE c = 1 AND d = 2 AND ( e IN (?) )", True), ("INSERT INTO t VALUES (?)", True)]
     assert ex.from_mapper("<mapper><select id='a'>SELECT a < b FROM t</select>") == [("SELECT a < b FROM t", 1, 9, False)]
 
 
