@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Contexts by path, in the order that decides.
@@ -170,6 +170,16 @@ def baseline(findings: DataFrame) -> DataFrame:
     return findings.select("rule_id", "file", fingerprint(F.col("rule_id"), F.col("file"), F.col("snippet")).alias("fingerprint")).distinct()
 
 
+def save_baseline(known: DataFrame, path: str) -> None:
+    """Write a baseline as JSON lines, over an earlier one."""
+    known.write.mode("overwrite").json(path)
+
+
+def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """A baseline as it was saved; an error where there is none."""
+    return spark.read.schema("rule_id string, file string, fingerprint string").json(path)
+
+
 def new_findings(findings: DataFrame, known: DataFrame) -> DataFrame:
     """Findings that aren't in a baseline; all repeated ones of a known finding go."""
     mine = findings.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file"), F.col("snippet")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataql.session import written
+
 
 #: Seconds of one bucket of time in as-of joins and in differences.
 BUCKET_SECONDS = 86_400
@@ -70,3 +72,20 @@ def interval_join(points: DataFrame, ranges: DataFrame, point: str, start: str,
     b = ranges.filter(F.col(start) < F.col(end)).withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
     p = points.withColumn("bucket", F.floor(F.col(point) / width))
     return p.join(b, "bucket").filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("bucket")
+
+
+def numbered(df: DataFrame, order: list[str], number: str) -> DataFrame:
+    """df with a dense number from 1 in the given order, written; ties in any order.
+
+    Partitions are ranges of the order; only their sizes, one number a partition, go to the driver,
+    which gives each range its first number. An empty table gives an empty result.
+    """
+    part = f"{number}_part"
+    ranged = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ranged")
+    at, first = 0, []
+    for row in sorted(ranged.groupBy(part).agg(F.count("*").alias("n")).collect()):
+        first.append((row[part], at))
+        at += row["n"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(first or [(-1, 0)], f"{part} int, {number}_first long"))
+    within = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.withColumn(number, within).join(starts, part).withColumn(number, F.col(number) + F.col(f"{number}_first")).select(*df.columns, number)

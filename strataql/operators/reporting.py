@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataql.operators.relational import difference_in_order
+from strataql.operators.relational import difference_in_order, numbered
 from strataql.rules.spec import SEVERITY_WEIGHT
 
 SEVERITIES = tuple(SEVERITY_WEIGHT)
@@ -145,3 +145,30 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     region = F.struct(F.greatest(F.coalesce("line_no", F.lit(1)), F.lit(1)).alias("startLine"), F.greatest(F.coalesce("col_no", F.lit(1)), F.lit(1)).alias("startColumn"))
     place = F.array(F.struct(F.struct(F.struct(F.coalesce("file", F.lit("<stdin>")).alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
     return findings.select("issue_id", F.to_json(F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.coalesce("message", F.lit("")).alias("text")).alias("message"), place.alias("locations"))).alias("result"))
+
+
+# The version of the log format and its schema.
+SARIF_VERSION, SARIF_SCHEMA = "2.1.0", "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/master/Schemata/sarif-schema-2.1.0.json"
+
+
+def sarif_log(findings: DataFrame, tool: str, version: str = "1") -> DataFrame:
+    """A whole SARIF log as lines (`value`), in order: the head with tool and rules, one line a result, the tail.
+
+    The rules, at most one a rule of the catalogue, are gathered into the head; results stay rows.
+    Findings need rule_id, message, severity, dimension, file, line_no and col_no.
+    """
+    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
+    rule = F.struct(
+        F.col("rule_id").alias("id"), F.regexp_replace("rule_id", "-", "").alias("name"), F.struct(F.col("text")).alias("shortDescription"), F.struct(F.col("dimension").alias("category")).alias("properties")
+    )
+    first = findings.groupBy("rule_id", "dimension").agg(F.min("message").alias("text"))
+    driver = F.struct(F.lit(tool).alias("name"), F.lit(version).alias("version"), F.array_sort(F.collect_list(rule)).alias("rules"))
+    opening = F.concat(F.lit(f'{{"version": "{SARIF_VERSION}", "$schema": "{SARIF_SCHEMA}", "runs": [{{"tool": {{"driver": '), F.to_json(driver), F.lit('}, "results": ['))
+    head = first.agg(opening.alias("value")).select(F.lit(0).cast("long").alias("n"), "value")
+    region = F.struct(F.greatest(F.coalesce("line_no", F.lit(1)), F.lit(1)).alias("startLine"), F.greatest(F.coalesce("col_no", F.lit(1)), F.lit(1)).alias("startColumn"))
+    place = F.array(F.struct(F.struct(F.struct(F.coalesce("file", F.lit("unknown")).alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation")))
+    result = F.struct(F.col("rule_id").alias("ruleId"), F.struct(F.coalesce("message", F.lit("")).alias("text")).alias("message"), level.alias("level"), place.alias("locations"))
+    lines = numbered(findings.select("file", "line_no", "rule_id", F.to_json(result).alias("value")), ["file", "line_no", "rule_id", "value"], "n")
+    results = lines.select("n", F.concat(F.when(F.col("n") > 1, ",").otherwise(""), F.col("value")).alias("value"))
+    tail = head.select(F.lit(2**62).alias("n"), F.lit("]}]}").alias("value"))
+    return head.unionByName(results).unionByName(tail).orderBy("n").select("value")

@@ -23,7 +23,7 @@ _USES = f"scope string, seq long, tables array<string>, aliases map<string,strin
 def references(text: str) -> tuple[list[str], dict[str, str], list[tuple], bool] | None:
     """(tables, table by alias, column references, whether queries are nested) of a query or DML; None for DDL and other text.
 
-    Names of common table expressions are no tables.
+    Names of common table expressions and templates are no tables.
     """
     w = words(text)
     up = [x.upper() for x in w]
@@ -35,7 +35,7 @@ def references(text: str) -> tuple[list[str], dict[str, str], list[tuple], bool]
     for f in found:
         named = list(f["table_aliases"])
         for t in f["tables"]:
-            if t in ctes:
+            if t in ctes or t.startswith("__jinja"):
                 continue
             if t not in tables:
                 tables.append(t)

@@ -18,9 +18,11 @@ class Config:
     disabled_rules: tuple[str, ...] = ()
     enabled_dimensions: tuple[str, ...] = ("security", "performance", "reliability", "compliance", "quality", "cost")
     dialect: str | None = None
+    #: Characters from which Analysis.overlong lists a statement; it is analysed all the same.
     max_query_length: int = 100_000
     severity_overrides: dict[str, str] = field(default_factory=dict)
-    context_overrides: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: Contexts by patterns of paths, before all others.
+    context_overrides: dict[str, str] = field(default_factory=dict)
     directive_prefix: str = "sqllint"
     fail_on: str = "high"
 
