@@ -164,7 +164,7 @@ def analyze_sources(sources: DataFrame, config: Config | None = None) -> Analysi
     placed = ordered.drop("seq", "scope")
     every = placed.unionByName(moved.select(*placed.columns))
     # Directives count in scripts; a chain's files have none here.
-    found = filters.unsuppressed(_single(every, rules), filters.directives(plain.filter("route = 'script'"), prefix=config.directive_prefix))
+    found = filters.unsuppressed(written(_single(every, rules), "single"), filters.directives(plain.filter("route = 'script'"), prefix=config.directive_prefix))
     events = migrations.migration_events(chain)
     breaks = schema_rules.migration_findings(events, schema.history(events))
     found = found.unionByName(_several(breaks, moved)).unionByName(_several(schema_rules.project_findings(ordered, "scope", "seq", migrations=False), ordered))
