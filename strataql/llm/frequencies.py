@@ -3,6 +3,10 @@
 A global dictionary numbers the terms; records are encoded as (record, identifier) pairs; each task
 adds its pairs into count arrays, one array for a block of identifiers; arrays of the same block
 are summed. Occurrences and record presence are counted the same way over distinct pairs.
+
+The dictionary also knows how many rows each term has. Terms of a large share of all rows are few
+by that very share, and are told to all tasks; the rows of all others meet the dictionary in a
+shuffle in which no key is hot.
 """
 
 from __future__ import annotations
@@ -21,6 +25,9 @@ BLOCK = 4096
 #: Arrays that a task holds at once; when there are more, they are sent on and begun anew.
 HELD_BLOCKS = 2048
 
+#: A term of at least this share of all rows of terms is hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.0005
+
 RARE_BELOW, COMMON_ABOVE = 5, 0.20
 
 
@@ -31,17 +38,14 @@ def clean_term(value: Column) -> Column:
 
 
 def dictionary(terms: DataFrame) -> DataFrame:
-    """term_id by (field_name, term): dense numbers in sorted order.
+    """field_name, term, term_id, n_rows, written: dense numbers in sorted order, and the rows of each term.
 
     Partitions are ranges of the sorted terms; only their sizes, one number a partition, go to the
     driver, which gives each range its first number.
     """
     spark = terms.sparkSession
-    distinct = terms.select("field_name", "term").distinct()
-    ranged = written(
-        distinct.repartitionByRange("field_name", "term").sortWithinPartitions("field_name", "term").select("field_name", "term", F.spark_partition_id().alias("part")),
-        "terms",
-    )
+    distinct = terms.groupBy("field_name", "term").agg(F.count("*").alias("n_rows"))
+    ranged = written(distinct.repartitionByRange("field_name", "term").withColumn("part", F.spark_partition_id()), "terms")
     sizes = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect())
     starts, at = [], 0
     for part, n in sizes:
@@ -49,7 +53,19 @@ def dictionary(terms: DataFrame) -> DataFrame:
         at += n
     first = F.broadcast(spark.createDataFrame(starts or [(-1, 0)], "part int, first long"))
     within = F.row_number().over(Window.partitionBy("part").orderBy("field_name", "term"))
-    return ranged.withColumn("k", within - 1).join(first, "part").select("field_name", "term", (F.col("first") + F.col("k")).alias("term_id"))
+    numbered = ranged.withColumn("k", within - 1).join(first, "part").select("field_name", "term", (F.col("first") + F.col("k")).alias("term_id"), "n_rows")
+    return written(numbered, "dictionary", n_rows=F.sum("n_rows"))
+
+
+def _encoded(rows: DataFrame, terms: DataFrame, hot_share: float) -> DataFrame:
+    """occurrence, record, term_id of every row."""
+    at_least = max(1, int(hot_share * (terms.counts["n_rows"] or 0)))
+    hot = terms.filter(F.col("n_rows") >= at_least).select("field_name", "term", "term_id")
+    cold = terms.filter(F.col("n_rows") < at_least).select("field_name", "term", F.col("term_id").alias("cold_id"))
+    first = rows.join(F.broadcast(hot), ["field_name", "term"], "left")  # at most 1 / hot_share terms
+    # What has its number stays where it is; only the rest is shuffled by term.
+    met = first.filter("term_id IS NULL").drop("term_id").join(cold, ["field_name", "term"]).select("occurrence", "record", F.col("cold_id").alias("term_id"))
+    return first.filter("term_id IS NOT NULL").select("occurrence", "record", "term_id").unionByName(met)
 
 
 def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,7 +105,7 @@ def count_by_id(pairs: DataFrame) -> DataFrame:
     return at.filter("n > 0").select((F.col("block") * BLOCK + F.col("k")).alias("term_id"), "n")
 
 
-def frequencies(df: DataFrame, fields: list[str], occurrence: str, record: str) -> DataFrame:
+def frequencies(df: DataFrame, fields: list[str], occurrence: str, record: str, hot_share: float = HOT_SHARE) -> DataFrame:
     """field_name, term, n_occurrences, n_records, n_all_records, is_rare, is_common of every term.
 
     `occurrence` identifies what is counted (a row delivered twice counts once), `record` the record
@@ -101,8 +117,8 @@ def frequencies(df: DataFrame, fields: list[str], occurrence: str, record: str)
     """
     values = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), clean_term(F.col(f)).alias("term")) for f in fields])).alias("v")
     rows = df.select(F.col(occurrence).alias("occurrence"), F.col(record).alias("record"), values).select("occurrence", "record", "v.field_name", "v.term").filter("term IS NOT NULL")
-    terms = written(dictionary(rows), "dictionary")
-    encoded = written(rows.join(terms, ["field_name", "term"]).select("occurrence", "record", "term_id"), "encoded")
+    terms = dictionary(rows)
+    encoded = written(_encoded(rows, terms, hot_share), "encoded")
     occurrences = count_by_id(encoded.select("occurrence", "term_id").distinct()).withColumnRenamed("n", "n_occurrences")
     present = count_by_id(encoded.filter("record IS NOT NULL").select("record", "term_id").distinct()).withColumnRenamed("n", "n_records")
     total = df.filter(F.col(record).isNotNull()).select(F.col(record).alias("r")).distinct().agg(F.count("*").alias("n_all_records"))

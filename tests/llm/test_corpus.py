@@ -22,7 +22,8 @@ def test_frequencies_by_brute_force(spark):
                     stmts[f, t.strip().lower()].add(s)
     n = len({s for _, s, _, _ in rows if s is not None})
     want = {(f, t, len(x), len(stmts[f, t]), n, len(x) < 5, len(stmts[f, t]) > 0.2 * n) for (f, t), x in issues.items()}
-    assert {tuple(r) for r in fr.frequencies(df, ["rule", "sev"], "issue", "stmt").collect()} == want
+    for hot_share in (fr.HOT_SHARE, 0.05, 2.0):  # all terms hot, some, none
+        assert {tuple(r) for r in fr.frequencies(df, ["rule", "sev"], "issue", "stmt", hot_share).collect()} == want
     assert fr.frequencies(df.limit(0), ["rule", "sev"], "issue", "stmt").collect() == []
 
 
