@@ -22,6 +22,12 @@ SEP = "\x1f"
 _LIST_END = frozenset("from into where group having order limit offset fetch union except intersect minus qualify window for returning when on bulk ;".split())
 _SET_END = frozenset("where from returning output order limit when on ;".split())
 
+#: Those of them that may also be plain names: behind a comma, a dot or the head of the list they are.
+_SOFT_END = frozenset("limit offset fetch qualify window returning bulk minus".split())
+_KNOWN = _LIST_END | _SET_END | frozenset("select set insert update values merge case end distinct all top as partition".split())
+#: Stands before a quoted name that reads like one of these words, as long as lists are arranged.
+_MARK = "\x1d"
+
 #: Words between INSERT and its target.
 _INSERT_WORDS = frozenset("or into overwrite table only ignore replace abort fail rollback low_priority high_priority delayed top".split())
 
@@ -34,9 +40,9 @@ class _Forms(dict):
         if c == "'":
             form = token
         elif c in '"`':
-            form = token.strip(c).lower() if len(token) > 1 else token
+            form = _named(token.strip(c).lower()) if len(token) > 1 else token
         elif c == "[" and len(token) > 1:
-            form = token[1:-1].lower()
+            form = _named(token[1:-1].lower())
         elif token[:2] in ("--", "/*"):
             form = _BLANK.sub(" ", token.lower()).rstrip()
         else:
@@ -47,6 +53,10 @@ class _Forms(dict):
         return form
 
 
+def _named(name: str) -> str:
+    return _MARK + name if name in _KNOWN else name
+
+
 _forms = _Forms()
 
 
@@ -69,7 +79,11 @@ def _split(words: list[str]) -> list[list[str]]:
 def _sorted_list(words: list[str]) -> list[str]:
     if "," not in words:
         return words
-    return _join_items(sorted(SEP.join(x) for x in _split(words)))
+    return _join_items(sorted((SEP.join(x) for x in _split(words)), key=_unmarked))
+
+
+def _unmarked(form: str) -> str:
+    return form.replace(_MARK, "")
 
 
 def _join_items(items: list[str]) -> list[str]:
@@ -111,20 +125,21 @@ def _arrange(words: list[str]) -> list[str]:
             j = _list_end(words, i)
             out += _sorted_list(words[i:j])
             i = j
-        elif w == "set" and "update" in words:
-            j = i
-            while j < n and words[j] not in _SET_END:
-                j += 1
+        elif w == "set" and (i == 1 or "update" in words or "insert" in words):
+            j = _list_end(words, i, _SET_END)
             out += _sorted_list(words[i:j])
             i = j
     return out
 
 
-def _list_end(words: list[str], j: int) -> int:
-    """Where the SELECT list that begins at j ends; the words of a CASE don't end it."""
-    depth = 0
-    while j < len(words) and (depth or words[j] not in _LIST_END):
-        depth += (words[j] == "case") - (words[j] == "end")
+def _list_end(words: list[str], j: int, ends: frozenset[str] = _LIST_END) -> int:
+    """Where the list that begins at j ends; the words of a CASE don't end it."""
+    depth, begun = 0, j
+    while j < len(words):
+        w = words[j]
+        if not depth and w in ends and not (w in _SOFT_END and (j == begun or words[j - 1] in (",", "."))):
+            break
+        depth += (w == "case") - (w == "end")
         j += 1
     return j
 
@@ -152,7 +167,7 @@ def _arrange_insert(words: list[str], merges: bool = False) -> list[str]:
     if k is None:
         return words
     columns = words[k].items
-    order = sorted(range(len(columns)), key=lambda i: (SEP.join(columns[i]), i))
+    order = sorted(range(len(columns)), key=lambda i: (_unmarked(SEP.join(columns[i])), i))
     rest = words[k + 1 :]
     if "values" in rest and rest[:1] != ["select"]:
         v = end = rest.index("values") + 1
@@ -204,4 +219,4 @@ def canonical(text: str) -> str:
         words += inner
     while words and words[-1] == ";":
         words.pop()
-    return SEP.join(_arrange(words))
+    return _unmarked(SEP.join(_arrange(words)))
