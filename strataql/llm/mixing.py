@@ -40,7 +40,8 @@ def water_fill(sources: list[tuple[str, float, int, int]], total: float) -> list
     allotted = dict.fromkeys(left, 0.0)
     rest, active = float(total), {s for s in left if left[s] > 0 and cap[s] > 0}
     while active and rest > 0:
-        weight = sum(left[s] for s in active)
+        # Sums go over sorted lists, so that the last bit doesn't depend on the order of a set.
+        weight = sum(left[s] for s in sorted(active))
         full = {s for s in active if rest * left[s] / weight >= cap[s]}
         if not full:
             for s in active:
@@ -48,7 +49,7 @@ def water_fill(sources: list[tuple[str, float, int, int]], total: float) -> list
             break
         for s in full:
             allotted[s] = float(cap[s])
-        rest -= sum(cap[s] for s in full)
+        rest -= sum(cap[s] for s in sorted(full))
         active -= full
     return [Share(s, w or 0.0, r or 0, a or 0, allotted[s]) for s, w, r, a in sources]
 

@@ -1,7 +1,7 @@
 """Encoding with a public byte-level BPE tokenizer, by an automaton of frequent words.
 
-The corpus' most frequent words are compiled, with their id lists, into a minimal acyclic automaton:
-words with equal remainders share states, and the number of words below each state turns a path
+The corpus' most frequent words (a blank and what follows up to the next one) are compiled, with
+their id lists, into a minimal acyclic automaton: words with equal remainders share states, and the number of words below each state turns a path
 into the word's number, under which its ids stand in one flat array (a transducer with outputs
 pushed to numbers). The arrays are files that every task maps into memory. Words that the automaton
 doesn't know are merged exactly by the tokenizer's ranks.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,9 +31,15 @@ LEXICON_WORDS = 60_000
 LONGEST_WORD = 48
 #: Word ids kept in one task.
 KEPT = 300_000
+#: Longer words are not kept: they hardly come again.
+KEPT_LENGTH = 200
 
-#: Fixed value: the public pattern by which byte-level BPE cuts text into words.
+#: Fixed value: the public pattern by which byte-level BPE cuts text into pieces.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Fixed value: what \s in it stands for.
+BLANKS = "\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Words of whole pieces: no piece goes across their ends, and the pieces of a word don't depend on what is around it.
+WORD = re.compile(f" ?[^{BLANKS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 
 DEFAULT_FOLDER = "/opt/tokenizers"
 
@@ -55,21 +62,14 @@ def _merger(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@lru_cache(maxsize=1)
-def _cutter():
-    import regex
-
-    return regex.compile(PATTERN)
-
-
 def cut(text: str) -> list[str]:
     """The words of a text; they join to the text."""
-    return _cutter().findall(text)
+    return WORD.findall(text)
 
 
 def merge(word: str, path: str) -> list[int]:
     """The ids of one word by exact merging."""
-    return _merger(path)._encode_single_piece(word)
+    return _merger(path).encode_ordinary(word)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -255,7 +255,7 @@ def _ship(spark: SparkSession, lexicon: Lexicon) -> str:
 
 
 class _Ids(dict):
-    """Ids by word within one task; a batch's new words are looked up in the automaton together."""
+    """Ids by word within one task; a part's new words are looked up in the automaton together."""
 
     def __init__(self, lexicon: Lexicon, path: str) -> None:
         super().__init__()
@@ -269,16 +269,23 @@ class _Ids(dict):
         for word, number in zip(new, self.lexicon.numbers([w.encode() for w in new])):
             self[word] = self.lexicon.ids_of(number) if number >= 0 else merge(word, self.path)
 
+    def forget(self, words: set[str]) -> None:
+        for word in words:
+            if len(word) > KEPT_LENGTH:
+                del self[word]
+
 
-def _encoder(name: str, path: str, keep: list[str]):
+def _encoder(name: str, vocabulary: str, keep: list[str]):
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[int]]]]:
-        ids = _Ids(_mapped(SparkFiles.get(name)), path)
+        ids = _Ids(_mapped(SparkFiles.get(name)), SparkFiles.get(vocabulary))
         for pdf in batches:
             for at in range(0, len(pdf), 256):  # so that the lists of one batch stay small
                 part = pdf.iloc[at : at + 256]
                 words = [cut(t) if t else [] for t in part["text"]]
-                ids.learn({w for ws in words for w in ws})
+                distinct = {w for ws in words for w in ws}
+                ids.learn(distinct)
                 yield part[["id", *keep]].copy(), [[i for w in ws for i in ids[w]] for ws in words]
+                ids.forget(distinct)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, found in lists(batches):
@@ -296,10 +303,12 @@ def _encoder(name: str, path: str, keep: list[str]):
 def _run(df: DataFrame, id_col: str, text_col: str, keep: list[str], folder: str | None, vocabulary: str, size: int, which: int, result: str) -> DataFrame:
     path = os.path.join(folder or tokenizer_folder(), vocabulary)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)])
+    # The vocabulary goes from the driver to all executors, so that these need no folder of their own.
+    df.sparkSession.sparkContext.addFile(path)
     name = _ship(df.sparkSession, build_lexicon(texts, path, size))
     kept = [f"kept_{k}" for k in range(len(keep))]
     types = ["id long", *[f"{k} {df.schema[c].dataType.simpleString()}" for k, c in zip(kept, keep)], result]
-    out = texts.mapInPandas(_encoder(name, path, kept)[which], ", ".join(types))
+    out = texts.mapInPandas(_encoder(name, os.path.basename(path), kept)[which], ", ".join(types))
     return out.toDF("id", *keep, out.columns[-1])
 
 

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -49,6 +52,15 @@ def test_encode(spark, bpe):
     assert tokenizer.encode(df.limit(0), "key", "body").collect() == []
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "é", "日", "7", "½", "'s", "'", ".", "_", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "👩🏽", "x" * 300]), max_size=25).map("".join) | st.text(max_size=40))
+def test_words_hold_whole_pieces(text):
+    path = f"{tokenizer.tokenizer_folder()}/byte_bpe_50k.tiktoken"
+    words = tokenizer.cut(text)
+    assert "".join(words) == text
+    assert [i for w in words for i in tokenizer.merge(w, path)] == tokenizer._merger(path).encode_ordinary(text)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.binary(min_size=1, max_size=8), st.lists(st.integers(0, 9), max_size=3), max_size=30), st.lists(st.binary(max_size=9), max_size=30))
 def test_lexicon(words, others):
@@ -77,6 +89,13 @@ def test_water_fill():
     assert got == {"a": 20.0, "b": 10.0}
 
 
+def test_water_fill_does_not_depend_on_hash_seeds():
+    code = "from strataql.llm.mixing import water_fill; print([s.allotted.hex() for s in water_fill([(f's{i}', 0.1 + i / 7, 1 + i % 3, 1000 + 37 * i) for i in range(40)], 123456.7)])"
+    root = os.path.dirname(os.path.dirname(mixing.__file__.rsplit("/", 1)[0]))
+    runs = {subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONHASHSEED": str(seed)}, capture_output=True, text=True, check=True).stdout for seed in (1, 2, 3)}
+    assert len(runs) == 1
+
+
 def test_mix(spark):
     docs = [(i, ["a", "b", "c", None][i % 4], 10 + i % 3, "z") for i in range(4000)]
     sized = spark.createDataFrame(docs, "id long, source string, n_tokens long, copies string")
