@@ -22,6 +22,8 @@ from strataql.session import release, written
 
 #: Rows of one bucket, and rows that a task collapses before it sends them on.
 BUCKET_ROWS = 200_000
+#: Classes that a task gathers before it sends them on.
+SENT = 10_000
 #: Bytes of the first radix prefix.
 FIRST = 32
 #: Bytes of one trie edge.
@@ -85,19 +87,23 @@ def _collapse(rows: int):
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    trie, now = Trie(), None
+    """Buckets, which come one after the other, each counted in a trie; the classes of many go on together."""
+    trie, now, ready = Trie(), None, []
     for pdf in batches:
         for bucket, form, least, n in zip(pdf["bucket"], pdf["form"], pdf["least"], pdf["n"]):
-            if bucket != now and now is not None:
-                yield _classes(trie)
-                trie = Trie()
-            now = bucket
+            if bucket != now:
+                ready += trie.items()
+                trie, now = Trie(), bucket
+                if len(ready) >= SENT:
+                    yield _classes(ready)
+                    ready = []
             trie.add(form, least, n)
-    yield _classes(trie)
+    ready += trie.items()
+    yield _classes(ready)
 
 
-def _classes(trie: Trie) -> pd.DataFrame:
-    return pd.DataFrame([(_digest(t), least, n, t) for t, least, n in trie.items()], columns=["digest", "keep_id", "n_copies", "form"])
+def _classes(found: list[tuple[bytes, int, int]]) -> pd.DataFrame:
+    return pd.DataFrame([(_digest(t), least, n, t) for t, least, n in found], columns=["digest", "keep_id", "n_copies", "form"])
 
 
 def _bucketed(rows: DataFrame, bucket_rows: int) -> DataFrame:
