@@ -19,3 +19,18 @@ CONTENT = [
     "Die Regel prüft, ob eine Spalte nicht vorhanden ist.", "La regla avisa cuando un índice no existe.", "La colonne n'existe pas dans la table d'origine.", "索引不存在时查询会变慢。", "Если таблица не найдена, запрос завершается ошибкой.", "Se la tabella non esiste, la query fallisce.",
     "O índice não existe na tabela antiga.", "The service is described on the next page.", "Sign in attempts are stored in audit_log.", "Too many joins make the plan hard to read.", "Something changed in the plan between the two runs.", "The construction of the index takes an hour.", "It is soon to be released.",
 ]
+
+# Written after the last change of residue.py and measured once; README has the figures.
+LATER_CASES = [
+    "We're sorry, but the requested URL was not found on this server.", "The server encountered an internal error and was unable to complete your request.", "Error establishing a database connection", "This content is no longer available.",
+    "The link you followed may be broken, or the page may have been removed.", "You need permission to view this document.", "Please log in to continue reading.", "This video is unavailable in your country.", "Gateway timeout: the upstream server took too long.",
+    "JavaScript is not available.", "For full functionality of this site it is necessary to enable JavaScript.", "Scripts are blocked. Allow them for this site and reload.", "Bitte aktivieren Sie JavaScript, um fortzufahren.", "Diese Seite existiert nicht mehr.",
+    "Ein unerwarteter Fehler ist aufgetreten.", "Désolé, cette page n'existe pas.", "Le service est temporairement indisponible.", "Lo sentimos, esta página no existe.", "Ha ocurrido un error inesperado.", "Necesitas activar JavaScript para usar esta aplicación.",
+    "Spiacenti, la pagina richiesta non esiste.", "Desculpe, esta página não existe.", "К сожалению, эта страница не существует.", "抱歉，您访问的页面不存在。", "申し訳ありませんが、このページは存在しません。", "Sehr geehrte/r {{ anrede }} {{ nachname }},", "Price: {price} EUR", "[INSERT DATE]", "Add a description here.", "Text kommt noch.",
+]
+LATER_CONTENT = [
+    "A foreign key makes sure that the parent row exists.", "The error table keeps one row per failed import.", "Pages are numbered from 1 in the printed report.", "Use NOT FOUND handlers to leave the loop.", "The server time is stored in UTC.", "Disable the trigger before the load and enable it again afterwards.",
+    "The script that loads the table runs at night.", "Requests are grouped by status code, 404 and 500 among them.", "The document store was moved to cheaper disks.", "Access to the table is granted by role.", "Temporary tables are unavailable in read-only sessions.", "The index can't be used because the column is cast.",
+    "Ask the owner when a view is missing from the list.", "The report shows which pages failed to load last week.", "A session that has expired is deleted by the job.", "Il rapporto elenca le tabelle senza chiave.", "El servicio guarda los errores en una tabla.", "Die Seite mit den Regeln ist sortiert.", "La page des règles est triée par nom.", "服务每天检查所有索引。",
+    "Сервис проверяет все таблицы ночью.", "Square brackets such as [id] quote names.", "Format strings like %s and %d are kept.", "The value <null> marks a missing entry.", "Lorem is the name of the test schema.", "The maintenance job rebuilds indexes.", "Try the query again with a smaller range.", "Scripts in the tools folder are checked too.", "The application reads the view once an hour.", "Unexpected errors are logged with their statement.",
+]

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from strataql.llm import frequencies as fr
 from strataql.llm import mixing, tokenizer
 from strataql.llm.residue import residue, spans
+from tests.llm import held_out
 
 
 # -- frequencies
@@ -180,6 +181,19 @@ def test_reports_govern_what_follows_only():
     assert len(spans(content[5])) == 1
 
 
+def test_blocks_decide():
+    prose = "The nightly job reads all partitions and writes one row for each of them, which takes about an hour on the old hosts. " * 3
+    message = "This page could not be found."
+    assert not spans(prose + message + " " + prose) and spans(prose + "\n" + message + "\n" + prose) and spans(prose + message)
+    assert not spans(prose + "Please enable JavaScript." + prose) and spans(prose + "Owner is {{ owner }} " + prose)
+
+
+def test_held_out_lines():
+    missed = [t for t in held_out.CASES if not spans(t)]
+    wrong = [t for t in held_out.CONTENT if spans(t)]
+    assert len(missed) <= 0.1 * len(held_out.CASES) and len(wrong) <= 0.1 * len(held_out.CONTENT), (missed, wrong)
+
+
 def test_residue(spark):
     for t in RESIDUE:
         assert spans(t), t
