@@ -34,7 +34,9 @@ PHRASES: dict[tuple[str, str], list[str]] = {
         "lorem ipsum", "text goes here", "placeholder paragraph", "placeholder text", "sample text.", "dummy text", "filler text", "body copy to follow", "copy to follow",
         "write something about this", "insert text here", "your text here", "add your content", "content coming soon", "content goes here", "description goes here", "replace this text",
         "texto de relleno", "texto de ejemplo", "escriba aquí", "texto provisional", "texte d'exemple", "texte à remplacer", "texte de remplissage", "texte provisoire", "votre texte ici",
-        "dolor sit amet", "text to be added", "insert your text", "replace with your own text", "this is a placeholder",
+        "dolor sit amet", "text to be added", "add a description", "enter your", "insert summary", "insert description", "insert content", "add description", "enter a description", "add text here", "add title", "click to edit", "edit this text", "write your", "enter your text", "type your text", "type something", "description of the product", "your company name", "your name here", "company name here", "to be written", "to be filled in", "to be completed", "lipsum", "this is sample", "sample content", "example text", "test test test", "asdf asdf",
+        "text kommt noch", "hier könnte", "hier text", "hier eingeben", "beschreibung folgt", "wird noch ergänzt", "ajoutez une description", "saisissez votre", "à compléter", "à venir", "agregue una descripción", "añada una descripción", "escriba su", "por completar", "aggiungi una descrizione", "da completare", "adicione uma descrição", "a preencher", "добавьте описание", "введите текст", "описание будет", "添加描述", "请输入", "待补充", "説明を追加", "入力してください", "後で追加",
+        "insert your text", "replace with your own text", "this is a placeholder",
         "testo segnaposto", "testo di esempio", "testo di prova", "testo da sostituire", "inserire qui il testo", "texto de preenchimento", "texto de exemplo", "texto provisório", "insira aqui", "escreva aqui",
         "здесь будет текст", "здесь должен быть текст", "текст-заполнитель", "текст-заглушка", "образец текста", "此处填写", "此处输入", "在此处添加", "在此输入", "示例文本", "占位文本", "voorbeeldtekst", "tekst volgt", "opvultekst",
         "platzhaltertext", "blindtext", "beispieltext", "mustertext", "hier steht text", "text folgt", "ここに説明を入れる", "ここにテキスト", "ダミーテキスト", "サンプルテキスト", "仮のテキスト", "ここに文章",
@@ -44,14 +46,18 @@ PHRASES: dict[tuple[str, str], list[str]] = {
         "|seite|", "|regel|", "|dokument|", "|dienst|", "|ressource|", "|inhalt|", "|adresse|", "|webseite|", "|server|", "|bericht|", "|ansicht|",
         "|règle|", "|ressource|", "|site|", "|vue|", "|rapport|", "|contenu|", "|serveur|",
         "|página|", "|regla|", "|recurso|", "|documento|", "|servicio|", "|sitio|", "|contenido|", "|informe|", "|vista|", "|servidor|",
-        "|access|", "|request|", "|view|", "|pagina|", "|servizio|", "|sito|", "|risorsa|", "|contenuto|", "|serviço|", "|conteúdo|", "|site|", "|dienst|", "|accès|", "|accesso|", "|acesso|", "|acceso|", "|zugriff|", "|toegang|",
+        "|access|", "|request|", "|view|", "|link|", "|video|", "|image|", "|account|", "|connection|", "|gateway|", "|file|", "|item|", "|post|", "|product|", "|feature|", "|application|", "|app|", "|database|", "|host|", "|domain|",
+        "|datei|", "|verbindung|", "|anwendung|", "|konto|", "|lien|", "|fichier|", "|connexion|", "|contenu|", "|enlace|", "|archivo|", "|conexión|", "|aplicación|", "|collegamento|", "|connessione|", "|ligação|", "|arquivo|", "|ссылка|", "|соединени", "链接", "连接", "リンク", "接続",
+        "|pagina|", "|servizio|", "|sito|", "|risorsa|", "|contenuto|", "|serviço|", "|conteúdo|", "|site|", "|dienst|", "|accès|", "|accesso|", "|acesso|", "|acceso|", "|zugriff|", "|toegang|",
         "|страниц", "|сервис", "|сайт", "|ресурс", "|документ", "|сервер", "页面", "网页", "服务", "网站", "资源", "内容", "服务器",
         "ページ", "サイト", "サービス", "ルール", "文書", "コンテンツ", "サーバー",
     ],
     ("error", "failure"): [
         "could not be found", "can not be found", "cannot be found", "can't be found", "was not found", "couldn't find", "could not find", "does not exist", "doesn't exist", "no longer exists", "could not be served", "could not be loaded", "could not be displayed", "could not be shown", "could not be opened", "cannot be shown", "cannot be displayed", "cannot be loaded", "can't be shown", "can't be displayed",
         "failed to load", "is not available", "isn't available", "is unavailable", "is currently unavailable", "temporarily unavailable", "was moved or removed", "has been moved", "has been removed", "was removed", "timed out", "is gone", "is down", "is missing", "did not answer", "did not respond", "is not responding", "cannot be reached", "could not be reached", "you requested", "do not have permission", "don't have permission", "not authorized", "not allowed to see", "went wrong", "something broke",
-        "can't be reached", "couldn't be reached", "can't be found", "couldn't be found", "can't be loaded", "is denied", "was denied", "is forbidden", "is restricted", "unavailable", "has expired", "not found", "has timed out", "could not be completed", "could not be processed",
+        "can't be reached", "couldn't be reached", "no longer available", "has been shut down", "was shut down", "has been discontinued", "has been retired", "no longer here", "has been deleted", "was deleted", "may have been removed", "may have been moved", "might have been removed", "may be broken", "took too long", "has failed", "could not be established", "was refused", "was reset", "was interrupted", "isn't working", "is not working", "isn't responding", "won't load", "didn't load", "cannot be found", "is offline", "is private", "requires permission", "is closed", "is suspended", "has been suspended", "is out of order", "ran into a problem", "is currently down",
+        "steht nicht zur verfügung", "nicht mehr verfügbar", "nicht hergestellt werden", "ist fehlgeschlagen", "ist abgelaufen", "existiert nicht mehr", "n'est plus en ligne", "temporairement indisponible", "a échoué", "a expiré", "introuvable", "indisponible", "no está en línea", "ha fallado", "ha caducado", "ha expirado", "ya no está", "non è più disponibile", "è scadut", "não está mais", "expirou", "falhou", "больше не существует", "больше не доступ", "не удалось", "истек", "已过期", "已失效", "失败", "超时", "已关闭", "期限が切れ", "失敗しました", "できませんでした", "削除されています",
+        "can't be found", "couldn't be found", "can't be loaded", "is denied", "was denied", "is forbidden", "is restricted", "unavailable", "has expired", "not found", "has timed out", "could not be completed", "could not be processed",
         "non trovat", "non è stata trovata", "non è stato trovato", "non disponibile", "non è disponibile", "non esiste", "non risponde", "è stata rimossa", "è stato rimosso", "non può essere", "não encontrad", "não foi encontrad", "indisponível", "não está disponível", "não existe", "não responde", "foi removid", "não pode ser exibid", "negado", "negato", "refusé", "denegado", "geweigerd", "verweigert",
         "не найден", "недоступ", "не существует", "не отвечает", "удален", "запрещ", "不存在", "找不到", "未找到", "不可用", "暂时无法", "无法显示", "无法访问", "无法加载", "已被删除", "没有响应", "被拒绝", "niet gevonden", "niet beschikbaar", "niet bereikbaar", "bestaat niet",
         "nicht gefunden", "nicht angezeigt werden", "nicht geladen werden", "nicht verfügbar", "nicht erreichbar", "existiert nicht", "ist gesperrt", "antwortet nicht", "wurde verschoben", "wurde entfernt", "wurde gelöscht", "nicht vorhanden",
@@ -61,7 +67,9 @@ PHRASES: dict[tuple[str, str], list[str]] = {
     ],
     ("error", "whole"): [
         "something went wrong while", "something went wrong on our", "something broke on our side", "an unexpected error has occurred", "an unexpected error occurred", "application error:", "an exception was raised while", "traceback (most recent call last)", "your session has expired", "session has timed out", "planned maintenance", "down for maintenance", "under maintenance", "be back shortly", "too many requests from", "slow down and try again", "did not answer in time", "access denied", "permission denied to view", "you do not have permission to see", "you do not have access to this", "ask an administrator for access", "please log in to", "log in again to continue", "sign in with an account that", "you must sign in to",
-        "something went wrong", "an error has occurred", "an error occurred", "error occurred while", "scheduled maintenance", "routine maintenance", "try again later", "try again in a few", "you don't have permission to", "you don't have access", "not authorized to view", "session has expired", "we couldn't find", "we can't find", "we could not find", "we are unable to", "we're unable to", "unable to load", "unable to process your request", "403 forbidden", "access is denied",
+        "something went wrong", "an error has occurred", "an error was encountered", "there was a problem", "there was an error", "having trouble", "we're experiencing", "internal error", "does not have permission", "sign in to see", "sign in to view", "log in to view", "request failed", "failed with status", "cannot get /", "cannot post /", "temporarily unable", "team has been notified", "no se pudo", "no se ha podido", "impossibile", "não foi possível", "n'a pas pu", "impossible de", "konnte nicht geladen", "не получилось", "加载失败", "encountered an error", "encountered an internal error", "error establishing", "unable to complete your request", "unable to connect", "unable to display", "unable to find", "unable to open", "failed to connect", "connection refused", "connection timed out", "connection reset", "fatal error:", "parse error:", "warning: mysql", "uncaught exception", "unhandled exception", "stack trace:", "page doesn't exist", "page does not exist", "page has moved", "nothing here", "nothing was found", "nothing to see here", "you need permission", "request access", "requires authentication", "please log in", "please sign in", "please contact the administrator", "contact your administrator", "contact support", "verify you are human", "checking your browser", "please try again", "please refresh", "reload this page", "not available in your country", "not available in your region", "subscribe to continue", "temporarily offline", "closed for maintenance", "rate limit exceeded", "quota exceeded", "maximum execution time", "out of memory",
+        "ein fehler ist aufgetreten", "fehler aufgetreten", "unerwarteter fehler", "bitte melden sie sich an", "bitte versuchen sie es", "keine berechtigung", "wird gewartet", "erreur inattendue", "veuillez réessayer", "veuillez vous connecter", "vous n'avez pas l'autorisation", "nous n'avons pas trouvé", "error inesperado", "vuelva a intentarlo", "inténtalo de nuevo", "debe iniciar sesión", "no tiene permiso", "no hemos encontrado", "errore imprevisto", "errore interno", "non hai i permessi", "accedi per continuare", "erro inesperado", "erro interno", "faça login", "não tem permissão", "непредвиденная ошибка", "внутренняя ошибка", "ошибка сервера", "войдите, чтобы", "нет прав", "服务器错误", "内部错误", "系统错误", "请重新登录", "没有权限", "无权访问", "请求超时", "予期しないエラー", "再度お試しください", "権限がありません",
+        "an error occurred", "error occurred while", "scheduled maintenance", "routine maintenance", "try again later", "try again in a few", "you don't have permission to", "you don't have access", "not authorized to view", "session has expired", "we couldn't find", "we can't find", "we could not find", "we are unable to", "we're unable to", "unable to load", "unable to process your request", "403 forbidden", "access is denied",
         "accesso negato", "pagina non trovata", "riprova più tardi", "si è verificato un errore", "sessione è scaduta", "in manutenzione", "acesso negado", "página não encontrada", "tente novamente mais tarde", "ocorreu um erro", "sessão expirou", "em manutenção", "algo deu errado", "qualcosa è andato storto",
         "доступ запрещ", "доступ закрыт", "страница не найдена", "попробуйте позже", "повторите попытку позже", "произошла ошибка", "сессия истекла", "технические работы", "访问被拒绝", "拒绝访问", "请稍后再试", "请稍后重试", "发生错误", "出错了", "登录已过期", "维护中", "toegang geweigerd", "probeer het later opnieuw", "er is een fout opgetreden", "in onderhoud",
         "zugriff verweigert", "bitte später erneut versuchen", "versuchen sie es später", "wartungsarbeiten", "ihre sitzung ist abgelaufen", "melden sie sich an, um", "es ist ein fehler aufgetreten", "seite nicht gefunden", "etwas ist schiefgelaufen",
@@ -73,6 +81,7 @@ PHRASES: dict[tuple[str, str], list[str]] = {
     ("line", "status"): [
         "not found", "bad gateway", "internal server error", "service unavailable", "gateway timeout", "gateway time-out", "forbidden", "unauthorized", "too many requests", "bad request", "request timeout",
         "|error|", "|erreur|", "|fehler|", "|errore|", "|erro|", "ошибка", "错误", "エラー", "|oops|", "|sorry|", "|hmm|", "|unfortunately|", "|whoops|", "|uh oh|",
+        "|asdf", "|sdfg", "|qwer", "|hjkl", "|jkl;", "|zxcv", "|xxx|", "|blah|", "|bla|", "|yada|", "|etc|", "|foo|",
         "|lorem|", "|ipsum|", "|dolor|", "|amet|", "|elit|", "|velit|", "|magna|", "|labore|", "|commodo|", "|fugiat|", "|nisi|", "|esse|",
     ],
     # A block of nothing else.
@@ -80,7 +89,7 @@ PHRASES: dict[tuple[str, str], list[str]] = {
     ("scripts", "noun"): ["javascript", "|js|", "|scripts|", "|scripting|", "client-side script", "script execution", "|skripte|", "|skripten|", "|los scripts|", "|les scripts|", "スクリプト", "|скрипт", "脚本"],
     # Asks for scripts to be allowed, whatever the sentence's subject.
     ("scripts", "demand"): [
-        "turn on", "turned on", "turned off", "turn it on", "switch on", "switched on", "switched off", "switch it on", "|enable|", "|enabled|", "|disabled|", "|blocked|", "|blocks|", "|allow|", "|allowed|", "are permitted", "be permitted", "must allow", "does not support", "doesn't support", "|activate|", "|unavailable|",
+        "turn on", "turned on", "turned off", "is not available", "isn't available", "is off", "are off", "are blocked", "is blocked", "was blocked", "must be on", "|activated|", "not supported", "aren't allowed", "isn't allowed", "allow them", "allow it", "turn it on", "switch on", "switched on", "switched off", "switch it on", "|enable|", "|enabled|", "|disabled|", "|blocked|", "|blocks|", "|allow|", "|allowed|", "are permitted", "be permitted", "must allow", "does not support", "doesn't support", "|activate|", "|unavailable|",
         "aktivieren", "eingeschaltet", "ausgeschaltet", "einschalten", "erlauben", "erlaubt sein", "deaktiviert", "blockiert",
         "activer", "activez", "désactivé", "bloqué", "autorise", "activé", "|active|", "activar", "habilit", "desactivado", "deshabilitado", "bloqueado", "permita",
         "abilita", "attiva", "disattivat", "|ative|", "desativad", "habilite", "включите", "отключ", "не поддерживает", "启用", "开启", "禁用", "schakel", "uitgeschakeld",
@@ -119,6 +128,11 @@ LATIN = frozenset(
     cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum""".split()
 )
 
+#: Rows of a keyboard; runs along them are typed to fill space.
+ROWS = ("qwertyuiop", "asdfghjkl;", "zxcvbnm")
+# Words that stand for any text when they come one after the other.
+EMPTY_WORDS = frozenset("blah bla yada etc foo bar baz qux".split())
+
 PLACEHOLDER = re.compile(
     r"""(?=[{\[$\#<%_@&])(?:
       \{\{(?!\#|/)[^{}\n]{1,60}\}\}
@@ -137,8 +151,8 @@ PLACEHOLDER = re.compile(
     | @@[A-Z]+(?:[_ .][A-Z]+)*@@
     | \[object\ Object\]
     | \[(?:insert|enter|your|add|fill\ in|type)\s[\w .-]{1,60}\]
-    | \[(?!(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL|NOTE|NOTICE|TODO|FIXME|OK|PASS|FAIL|SQL|URL)\])[A-Z]{4,}(?:[_ .][A-Z]+)*\](?![(\[.])
-    | \[[A-Z]{2,}(?:[_ .][A-Z]+)+\](?![(\[.])
+    | \[(?!(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL|NOTE|NOTICE|TODO|FIXME|OK|PASS|FAIL|SQL|URL)\])[A-Z]{4,}(?:[_ .][A-Z]+)*\](?![(\[]|\.[\[\w])
+    | \[[A-Z]{2,}(?:[_ .][A-Z]+)+\](?![(\[]|\.[\[\w])
     )""",
     re.VERBOSE | re.IGNORECASE,
 )
@@ -149,6 +163,7 @@ STATUS = r"(?:not found|bad gateway|internal server error|service unavailable|ga
 ERROR_LINE = re.compile(
     rf"^\W*(?:http\s*)?(?:(?:error|erreur|fehler|errore|erro|ошибка|错误|エラー)\s*)?(?:[45]\d\d)?\W*{STATUS}\W*(?:\([^)]*\)|nginx|apache|openresty|cloudflare|iis)?\W*$"
     r"|^\W*(?:http\s+)?(?:error|erreur|fehler|errore|erro|ошибка|错误|エラー)\s*:?\s*[45]\d\d\s*(?::|$)"
+    rf"|^\W*(?:http\s*)?(?:error\s*)?(?:[45]\d\d\s*[-–—:|]?\s*)?(?:page\s+|file\s+)?{STATUS}\s*[:.!–—|-]"
     rf"|^\W*(?:http\s*)?[45]\d\d\s*[-–—:|]\s*(?:page\s+|file\s+)?{STATUS}\b"
     r"|^\W*(?:error|oops|sorry|hmm|unfortunately|whoops|uh oh)\s*[:,!]\s+(?:the|this|that|we|your|an?)\b.*(?:load|found|find|available|shown|removed|timed out|broke|wrong|served|opened|displayed|reached|moved)",
     re.IGNORECASE,
@@ -316,7 +331,7 @@ def _kind(sentence: str, low: str, start: int, end: int, hits: list) -> str:
     """What a sentence is, from its phrases and their places; '' for content."""
     body = sentence[_LEAD.match(sentence).end() :]
     roles = {x[2:] for x in hits}
-    if ("filler", "whole") in roles or _is_latin(body):
+    if ("filler", "whole") in roles or _is_latin(body) or _is_mashed(body):
         return "filler"
     if ("scripts", "noun") in roles and (("scripts", "demand") in roles and _is_asked(hits) or {("scripts", "need"), ("scripts", "place")} <= roles):
         return "scripts"
@@ -360,6 +375,16 @@ def _is_latin(body: str) -> bool:
     return known >= 3 and known >= 0.6 * len(words)
 
 
+def _is_mashed(body: str) -> bool:
+    """Whether most words are runs along a keyboard's row, one sign over and over, or words without a meaning here."""
+    words = re.findall(r"[^\W\d_]+;?", body.lower())
+    typed = 0
+    for w in words:
+        unit = w[: len(w) // 2] if len(w) % 2 == 0 and w[: len(w) // 2] == w[len(w) // 2 :] else w
+        typed += len(w) >= 3 and (len(set(w)) == 1 or w in EMPTY_WORDS or any(unit in row for row in ROWS) and (len(unit) >= 4 or ";" in unit))
+    return typed >= 3 and typed >= 0.6 * len(words)
+
+
 def _placeholders(bare: str, low: str, hits: list) -> list[tuple[str, int, int]]:
     out = []
     reports = [x for x in hits if x[2] == "report"]

@@ -189,9 +189,17 @@ def test_blocks_decide():
 
 
 def test_held_out_lines():
-    missed = [t for t in held_out.CASES if not spans(t)]
-    wrong = [t for t in held_out.CONTENT if spans(t)]
-    assert len(missed) <= 0.1 * len(held_out.CASES) and len(wrong) <= 0.1 * len(held_out.CONTENT), (missed, wrong)
+    cases, content = held_out.CASES + held_out.LATER_CASES + held_out.LAST_CASES, held_out.CONTENT + held_out.LATER_CONTENT + held_out.LAST_CONTENT
+    missed = [t for t in cases if not spans(t)]
+    wrong = [t for t in content if spans(t)]
+    assert len(missed) <= 0.1 * len(cases) and len(wrong) <= 0.1 * len(content), (missed, wrong)
+
+
+def test_fillers_of_no_language():
+    for t in ["asdf qwer hjkl asdfasdf xxx jkl; asdf", "blah blah etc etc yada yada foo bar baz", "Text.\n\nxxx xxx xxx\n\nMore text."]:
+        assert spans(t), t
+    for t in ["The alias foo is used for bar in two views.", "Rows, columns, etc. are counted.", "SELECT foo, bar FROM baz WHERE qux = 1 AND total > 2", "See page xxx of the manual."]:
+        assert not spans(t), t
 
 
 def test_residue(spark):
