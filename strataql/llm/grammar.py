@@ -28,7 +28,7 @@ SOFT = frozenset(
     safe_cast extract row_number recursive temporary temp if or or materialized alter drop truncate grant revoke
     begin commit rollback declare exec execute call copy attach detach pragma use show describe explain analyze
     vacuum database schema role user login credential mapping sequence type domain extension lock comment language
-    return returns dual minus apply output overwrite go start transaction isnull notnull filter within respect
+    against return returns dual minus apply output overwrite go start transaction isnull notnull filter within respect
     current row unbounded preceding following date time timestamp change reset unload put get list
     loop while elsif elseif exception try catch tran repeat until perform raise raiserror open close exit leave iterate
     continue signal resignal print throw waitfor deallocate let savepoint
@@ -72,8 +72,10 @@ class Invalid(Exception):
 class Parser:
     """Recursive descent over one shape."""
 
-    def __init__(self, words: list[str], dialect: str) -> None:
+    def __init__(self, words: list[str], dialect: str, names: list[str] | None = None) -> None:
         self.w, self.i, self.d = [*words, "$"], 0, dialect
+        #: The words as they are spelt, in lower case: for statements whose keywords are names elsewhere.
+        self.spelt = [*(names or words), "$"]
 
     # -- helpers
     @property
@@ -83,6 +85,21 @@ class Parser:
     def peek(self, k: int = 1) -> str:
         return self.w[min(self.i + k, len(self.w) - 1)]
 
+    @property
+    def word(self) -> str:
+        return self.spelt[self.i]
+
+    def takes(self, *words: str) -> bool:
+        """take by spelling."""
+        if self.spelt[self.i] in words:
+            self.i += 1
+            return True
+        return False
+
+    def needs(self, *words: str) -> None:
+        if not self.takes(*words):
+            raise Invalid(f"{self.word} where {'/'.join(words)} should be")
+
     def take(self, *words: str) -> bool:
         if self.w[self.i] in words:
             self.i += 1
@@ -109,7 +126,7 @@ class Parser:
             if self.now == ".":  # server..table
                 continue
             if not self.take("*"):
-                if self.now in KEYWORDS:
+                if self.now in KEYWORDS or self.now == "v" and self.d == "snowflake":
                     self.i += 1
                 else:
                     self.name()
@@ -160,6 +177,13 @@ class Parser:
             self.create()
         elif w == "explain":
             self.explain()
+        elif w in ("drop", "truncate", "grant", "revoke", "alter"):
+            getattr(self, w)()
+        elif self.word == "load" and self.d == "mysql":
+            self.i += 1
+            self.rest("load")
+        elif w == "from" and self.d == "bigquery":
+            self.pipes()
         elif w == "if" and self.d in _HEADS["if"] or w == "while" and self.d == "tsql" or w == "begin" and self.opens_block():
             self.step()
         elif w in _HEADS:
@@ -290,7 +314,7 @@ class Parser:
             if self.take("all"):
                 pass
             else:
-                self.comma_list(self.expr)
+                self.comma_list(self.group_item)
                 if self.take("with"):
                     self.name()
         if self.take("having"):
@@ -303,6 +327,69 @@ class Parser:
             self.i += 1
             self.expr()
 
+    def group_item(self) -> None:
+        if self.word in ("grouping", "rollup", "cube"):
+            if self.takes("grouping"):
+                if not self.takes("sets"):
+                    self.i -= 1
+                    return self.expr()
+            else:
+                self.i += 1
+            return self.brackets() if self.now == "(" else None
+        self.expr()
+
+    def pipes(self) -> None:
+        """FROM first, then a chain of operators behind |>."""
+        self.need("from")
+        self.sources()
+        while self.now == "|" and self.peek() == ">":
+            self.i += 2
+            if self.take("where", "having"):
+                self.expr()
+            elif self.take("select"):
+                self.take("distinct", "all")
+                self.comma_list(self.select_item)
+            elif self.takes("extend", "aggregate", "set", "drop", "rename", "window"):
+                if self.now not in ("group", "|"):
+                    self.comma_list(self.pipe_item)
+                if self.take("group"):
+                    if not (self.take("and") and self.take("order")):
+                        pass
+                    self.need("by")
+                    self.comma_list(self.select_item)
+            elif self.take("as"):
+                self.name()
+            elif self.now in ("order", "limit"):
+                self.tail()
+            elif self.take("distinct"):
+                pass
+            elif self.now in ("union", "intersect", "except"):
+                self.i += 1
+                self.take("all", "distinct")
+                self.comma_list(self.set_operand)
+            elif self.now in ("join", "left", "right", "full", "inner", "cross"):
+                k = self.i
+                while self.now in ("left", "right", "full", "inner", "cross", "outer"):
+                    self.i += 1
+                self.need("join")
+                self.source()
+                if self.take("on"):
+                    self.expr()
+                elif self.take("using"):
+                    self.brackets()
+            elif self.now in ("tablesample", "pivot", "unpivot", "call"):
+                self.i += 1
+                while self.now not in ("|", "$", ";"):
+                    self.brackets() if self.now == "(" else self.name()
+            else:
+                raise Invalid("no such pipe")
+
+    def pipe_item(self) -> None:
+        self.select_item()
+        if self.take("="):
+            self.expr()
+        self.take("asc", "desc")
+
     def window_def(self) -> None:
         self.name()
         self.need("as")
@@ -312,7 +399,7 @@ class Parser:
         if self.d == "bigquery" and self.now == "from":
             return  # a trailing comma
         if self.take("*"):
-            if self.now in ("except", "replace") and self.peek() == "(" and self.d in ("bigquery", "snowflake"):
+            while self.now in ("except", "replace") and self.peek() == "(" and self.d in ("bigquery", "snowflake"):
                 self.i += 1
                 self.brackets()
             return
@@ -379,11 +466,15 @@ class Parser:
                 self.i += 2
         elif self.now == "v":
             self.i += 1
+            while self.d == "snowflake" and self.take("/", "."):  # @stage/path
+                self.name()
+            if self.d == "snowflake" and self.now == "(":
+                self.brackets()
         else:
             self.dotted()
             if self.now == "(":
                 self.brackets()
-        if self.now == "for" and self.peek() in ("i", "system", "s") and self.d in ("tsql", "bigquery"):
+        if self.now == "for" and self.peek() in ("i", "system", "s") and self.d in ("tsql", "bigquery") and self.spelt[self.i + 1] not in ("xml", "json", "browse"):
             while self.now not in ("$", ";", ")", "where", "join", "order", ",", "group", "as"):
                 self.i += 1
         if self.now == "tablesample" or self.now == "sample" and self.peek() == "(":
@@ -397,9 +488,20 @@ class Parser:
         self.alias()
         if self.now == "(" and self.w[self.i - 1] in NAMES:
             self.brackets()
+        if self.now in ("pivot", "unpivot") and self.peek() == "(":
+            self.i += 1
+            self.brackets()
+            self.alias()
+        if self.now == "with" and self.peek() == "offset" and self.d == "bigquery":
+            self.i += 2
+            self.alias()
         if self.now == "with" and self.d == "tsql" and self.peek() == "(":
             self.i += 1
             self.brackets()
+            self.alias()
+        if self.now == "by" and self.d == "sqlite":  # INDEXED BY
+            self.i += 1
+            self.name()
         if self.d == "mysql" and self.now in ("i", "use", "ignore") and self.peek() in ("index", "key"):
             self.i += 2
             self.brackets()
@@ -439,7 +541,7 @@ class Parser:
             elif self.now == "for" and self.peek() in ("update", "share", "i", "key"):
                 self.i += 2
                 while self.now not in ("$", ";", ")"):
-                    self.i += 1
+                    self.brackets() if self.now == "(" else self.skip()
             elif self.now == "option" and self.d == "tsql":
                 self.i += 1
                 self.brackets()
@@ -508,6 +610,8 @@ class Parser:
                         self.i += 1
                 elif w == "between":
                     self.i += 1
+                    if self.d == "postgresql" and self.now == "i" and self.peek() in ("n", "s", "v", "i", "q"):
+                        self.i += 1  # SYMMETRIC
                     self.operand()
                     self.need("and")
                     self.operand()
@@ -543,10 +647,16 @@ class Parser:
                         if self.now != "]":
                             self.expr()
                 self.need("]")
+            elif w == "p":  # a path into a variant
+                self.i += 1
+                while self.take("."):
+                    self.name()
             elif w == "collate":
                 self.i += 1
                 if not self.take("s"):
                     self.dotted()
+            elif w == "|" and self.peek() == ">" and self.d == "bigquery":
+                return
             elif w in INFIX and (INFIX[w] == "" or self.d in INFIX[w]):
                 self.i += 1
                 if w == ":":
@@ -561,7 +671,7 @@ class Parser:
         if w in ("-", "+", "~"):
             self.i += 1
             self.primary()
-        elif w in ("n", "v", "null", "true", "false", "?"):
+        elif w in ("n", "v", "p", "null", "true", "false", "?"):
             self.i += 1
             if w == "v" and self.d == "oracle" and self.take("."):  # :NEW.name
                 self.name()
@@ -627,9 +737,14 @@ class Parser:
         elif w == "default" and self.d in ("mysql", "postgresql", "tsql", "snowflake", "oracle"):
             self.i += 1
         else:
+            if self.d == "redshift" and self.word == "approximate" and self.peek() == "i":
+                self.i += 1
             self.dotted()
             if self.now == "(":
                 self.call()
+            if self.now == "against" and self.d == "mysql":
+                self.i += 1
+                self.brackets()
 
     def array(self) -> None:
         self.need("[")
@@ -712,9 +827,12 @@ class Parser:
             self.expr()
         self.need("end")
 
-    def type_name(self) -> None:
+    def type_name(self, known: bool = False) -> None:
+        """A type; where names are `known` by their spelling, only the further words that types have."""
         self.dotted()
-        while self.now == "i" and self.peek() in ("(", ")", ",", "i") or self.now in ("with", "time") and self.peek() in ("time", "i"):
+        while known and self.word in ("precision", "varying", "large", "object", "character", "char", "raw") and not (self.word == "character" and self.peek() == "set"):
+            self.i += 1
+        while not known and (self.now == "i" and self.peek() in ("(", ")", ",", "i") or self.now in ("with", "time") and self.peek() in ("time", "i")):
             self.i += 1  # further words of a type: double precision, timestamp with time zone
         if self.now == "(":
             self.i += 1
@@ -736,6 +854,11 @@ class Parser:
                     break
         while self.now == "[" and self.peek() == "]":
             self.i += 2
+        if self.word in ("with", "without") and self.spelt[self.i + 1 : self.i + 2] == ["time"]:
+            self.i += 2
+            self.takes("zone")
+        elif self.word == "with" and self.spelt[self.i + 1 : self.i + 2] == ["local"]:
+            self.i += 4
 
     # -- DML
     def insert(self) -> None:
@@ -752,6 +875,8 @@ class Parser:
             self.i += 1
         if self.now == "overwrite" and self.d == "snowflake":
             self.i += 1
+        if self.d in ("oracle", "snowflake") and self.now in ("all", "first"):
+            return self.insert_all()
         if not self.take("into") and self.d not in ("mysql", "tsql", "bigquery"):
             raise Invalid("no INTO")
         self.take("table") if self.d == "snowflake" else None
@@ -812,6 +937,26 @@ class Parser:
                         self.expr()
         self.returning()
 
+    def insert_all(self) -> None:
+        """INSERT ALL or FIRST: targets, on conditions or without, and the query that feeds them."""
+        self.i += 1
+        n = 0
+        while self.now in ("into", "when", "else"):
+            if self.take("when"):
+                self.expr()
+                self.need("then")
+            self.take("else")
+            while self.take("into"):
+                n += 1
+                self.dotted()
+                if self.now == "(":
+                    self.brackets()
+                if self.take("values"):
+                    self.row()
+        if not n:
+            raise Invalid("INSERT ALL without INTO")
+        self.query()
+
     def returning(self) -> None:
         if self.now == "returning":
             if self.d not in RETURNING:
@@ -989,15 +1134,265 @@ class Parser:
         elif self.now in ("function", "procedure", "trigger"):
             self.routine()
         elif self.now in _CREATE:
-            if _CREATE[self.now] and self.d not in _CREATE[self.now]:
+            kind = self.now
+            if _CREATE[kind] and self.d not in _CREATE[kind]:
                 raise Invalid("can't be created in this dialect")
             self.i += 1
-            self.rest("create")
+            if kind in ("user", "role", "login") and self.now not in ("mapping",):
+                self.account(kind)
+            else:
+                self.rest("create")
         elif words:
             self.rest("create")
         else:
             raise Invalid("CREATE what")
 
+    def account(self, kind: str) -> None:
+        """CREATE USER, ROLE or LOGIN after that word: names, and options that begin as options do."""
+        self.if_exists()
+        while True:
+            if not self.take("s", "v"):
+                self.dotted()
+            if self.take("v", "@"):
+                self.take("s", "q", "i")
+            if self.now not in ("$", ";", ","):
+                if self.word not in _ACCOUNT and self.peek() != "=":
+                    raise Invalid("no option of an account")
+                depth = 0
+                while self.now not in ("$", ";") and (depth or self.now != ","):
+                    depth += (self.now == "(") - (self.now == ")")
+                    self.i += 1
+                if self.w[self.i - 1] in ("=", ".", "(", "by", "with"):
+                    raise Invalid("cut short")
+            if not self.take(",") or self.word in _ACCOUNT or self.peek() == "=":
+                break
+        if self.now not in ("$", ";"):
+            self.rest("create")
+
+    def kind(self, kinds: frozenset[str]) -> str:
+        """The kind of an object, of up to three words."""
+        for n in (3, 2, 1):
+            words = self.spelt[self.i : self.i + n]
+            if len(words) == n and " ".join(words) in kinds:
+                self.i += n
+                return " ".join(words)
+        raise Invalid(f"{self.word} is no kind of object")
+
+    def object_name(self) -> None:
+        if self.now == "s":  # 'user'@'host'
+            self.i += 1
+            if self.take("@"):
+                self.need("s", "q", "i")
+            return
+        self.dotted()
+        if self.now == "(":
+            self.brackets()
+        if self.take("@"):
+            self.need("s", "q", "i")
+
+    def tokens_of(self, known: frozenset[str]) -> None:
+        """Further words of a statement, all of them known; brackets and values stand behind one."""
+        while self.now not in ("$", ";"):
+            if self.now == "(" and self.w[self.i - 1] != "$":
+                self.brackets()
+            elif self.word in known:
+                self.i += 1
+                if self.take("="):
+                    self.i += 1
+            else:
+                raise Invalid(f"{self.word} doesn't belong here")
+
+    def drop(self) -> None:
+        self.need("drop")
+        while self.takes("temporary", "temp", "global", "public", "external", "foreign", "concurrently") and self.now not in ("$", ";"):
+            pass
+        if self.takes("owned"):
+            return self.rest("drop")
+        kind = self.kind(_KINDS)
+        self.takes("concurrently")
+        self.if_exists()
+        self.takes("concurrently")
+        self.comma_list(self.object_name)
+        if self.take("on"):
+            self.object_name()
+        elif self.takes("from"):
+            self.object_name()
+        if kind in ("cast", "transform", "user mapping", "mapping", "operator class", "operator family", "statistics"):
+            return self.rest("drop") if self.now not in ("$", ";") else None
+        self.tokens_of(_DROP_TAIL)
+
+    def truncate(self) -> None:
+        self.need("truncate")
+        if self.d == "sqlite":
+            raise Invalid("no TRUNCATE")
+        self.take("table", "cluster") or self.takes("table", "cluster")
+        self.if_exists()
+        self.take("only")
+        self.comma_list(self.truncated)
+        self.tokens_of(_TRUNCATE_TAIL)
+
+    def truncated(self) -> None:
+        self.dotted()
+        self.take("*")
+
+    def privilege(self) -> None:
+        """A privilege or role: words, perhaps with columns."""
+        n, wide = 0, False
+        while self.word not in (",", "on", "to", "from", "$", ";"):
+            if self.now == "(":
+                self.brackets()
+            elif self.now in ("s", "q", "v", ".", "@", "*") or self.now in KEYWORDS or self.now == "i":
+                self.i += 1
+            else:
+                raise Invalid("no privilege")
+            n += 1
+            wide = wide or n > 1 and self.w[self.i - 2] not in (".", "@") and self.w[self.i - 1] not in (".", "@", ")")
+        self.wide = self.wide or wide
+        if not n:
+            raise Invalid("no privilege")
+
+    def grantee(self) -> None:
+        n = 0
+        while self.now not in (",", "with", "$", ";") and self.word not in ("granted", "identified", "cascade", "restrict", "container", "require", "as"):
+            if self.now not in ("s", "q", "i", "v", ".", "@", "::", ":") and self.now not in SOFT and self.now != "group":
+                raise Invalid("no grantee")
+            n += 1
+            self.i += 1
+            if n > 6:
+                raise Invalid("no grantee")
+        if not n:
+            raise Invalid("no grantee")
+
+    def grant(self) -> None:
+        self.rights("to")
+
+    def revoke(self) -> None:
+        self.rights("from")
+
+    def rights(self, direction: str) -> None:
+        if self.d == "sqlite":
+            raise Invalid("no GRANT")
+        self.i += 1
+        for words in (("grant", "option", "for"), ("admin", "option", "for")):
+            if tuple(self.spelt[self.i : self.i + 3]) == words:
+                self.i += 3
+        self.wide = False
+        self.comma_list(self.privilege)
+        if self.now != "on" and self.wide and self.d in ("postgresql", "redshift", "mysql", "bigquery"):
+            raise Invalid("a role has one word")
+        if self.take("on"):
+            depth = 0
+            n = 0
+            while self.now not in ("$", ";") and (depth or self.word != direction):
+                depth += (self.now == "(") - (self.now == ")")
+                n += 1
+                self.i += 1
+            if not n or self.w[self.i - 1] in (".", ",", "("):
+                raise Invalid("ON what")
+        self.needs(direction)
+        self.comma_list(self.grantee)
+        if self.now not in ("$", ";"):
+            if self.now != "with" and self.word not in ("granted", "identified", "cascade", "restrict", "container", "require", "as"):
+                raise Invalid("not behind a grantee")
+            self.i += 1
+            if self.now in ("$", ";"):
+                if self.spelt[self.i - 1] not in ("cascade", "restrict"):
+                    raise Invalid("cut short")
+            else:
+                self.rest("grant")
+
+    def alter(self) -> None:
+        self.need("alter")
+        if self.word in ("session", "system", "default"):
+            self.i += 1
+            return self.rest("alter")
+        while self.takes("external", "foreign", "materialized", "global", "temporary", "public") and self.now not in ("$", ";"):
+            pass
+        kind = self.kind(_KINDS)
+        self.takes("all")
+        self.if_exists()
+        self.take("only")
+        if kind != "table":
+            self.object_name()
+            if self.d == "oracle" and self.now in ("$", ";"):
+                raise Invalid("ALTER what")
+            return self.rest("alter")
+        self.dotted()
+        self.take("*")
+        if self.now == "(":
+            self.brackets()
+        self.action()
+        while self.take(","):
+            if self.word in _ACTIONS:
+                self.action()
+            else:
+                self.added()
+        if self.now not in ("$", ";") and self.d in ("oracle", "mysql", "snowflake", "tsql", "bigquery"):
+            while self.now not in ("$", ";"):
+                self.action()
+
+    def action(self) -> None:
+        """One action of ALTER TABLE."""
+        head = self.word
+        if head not in _ACTIONS:
+            raise Invalid(f"{head} is no action")
+        self.i += 1
+        if head == "with" and self.takes("check", "nocheck"):
+            head = "check"
+            if self.takes("add"):
+                return self.added()
+        if head == "add":
+            return self.added()
+        if head in ("modify", "change"):
+            self.takes("column")
+            if self.now == "(":
+                return self.brackets()
+            if head == "change":
+                self.name()
+            self.table_item(("$", ";", ",", "first", "after"))
+            if not self.takes("first") and self.takes("after"):
+                self.name()
+            return
+        if head == "drop":
+            self.takes("column", "constraint", "index", "key", "partition", "primary", "foreign", "check", "default", "clustering", "row", "search", "unique", "unused", "columns", "supplemental")
+            self.takes("key", "access", "policy", "optimization")
+            self.if_exists()
+        n = self.i
+        depth = 0
+        while self.now not in ("$", ";") and (depth or self.now != ","):
+            depth += (self.now == "(") - (self.now == ")")
+            if depth < 0:
+                raise Invalid("a bracket too many")
+            self.i += 1
+        if depth or self.w[self.i - 1] in (".", "=", "(", "to") or self.i == n and head in ("alter", "rename", "owner", "set", "drop") and self.spelt[self.i - 1] not in ("key", "columns", "default"):
+            raise Invalid("cut short")
+
+    def added(self) -> None:
+        """What ALTER TABLE adds: columns, constraints, partitions, indexes."""
+        ends = ("$", ";", ",", "first", "after")
+        if self.word in ("partition", "partitions", "subpartition", "supplemental", "search", "row", "period", "system", "fulltext", "spatial", "clustering", "projection", "encrypted"):
+            self.i += 1
+            n = self.i
+            while self.now not in ("$", ";", ","):
+                self.brackets() if self.now == "(" else self.skip()
+            if self.i == n:
+                raise Invalid("ADD what")
+            return
+        self.takes("column", "columns")
+        self.if_exists()
+        if self.now == "(":
+            self.i += 1
+            self.comma_list(self.table_item)
+            return self.need(")")
+        self.table_item(ends)
+        if self.takes("first"):
+            return
+        if self.takes("after"):
+            self.name()
+
+    def skip(self) -> None:
+        self.i += 1
+
     def if_exists(self) -> None:
         if self.now == "if" and self.peek() in ("not", "exists"):
             self.i += 1
@@ -1014,7 +1409,11 @@ class Parser:
                 self.i += 1
                 self.comma_list(self.table_item)
                 self.need(")")
-        while self.now not in ("as", "$", ";"):
+        elif self.word not in _TABLE_TAIL and self.now not in ("$", ";"):
+            raise Invalid("no columns")
+        while self.now not in ("$", ";"):
+            if self.now == "as" and self.peek() in ("select", "with", "(", "values"):
+                break
             if self.now == "(":
                 self.brackets()
             elif self.now == ")":
@@ -1030,28 +1429,77 @@ class Parser:
         if self.w[self.i - 1] in (",", "=", "."):
             raise Invalid("cut short")
 
-    def table_item(self) -> None:
-        if self.now in ("primary", "foreign", "unique", "check", "constraint", "key", "index", "like") and self.peek() not in ("i",):
-            pass
-        elif self.now == "constraint":
-            pass
+    def table_item(self, ends: tuple[str, ...] = (",", ")")) -> None:
+        """A column with its type and constraints, or a constraint of the table."""
+        if self.now in ("primary", "foreign", "unique", "check", "constraint", "key", "index", "like") and self.peek() not in ("i",) or self.now == "constraint" or self.word in ("exclude", "period", "fulltext", "spatial"):
+            n = self.i
+            while self.word not in ends:
+                if self.now == "(":
+                    self.brackets()
+                elif self.now in ("$", ";") or self.now in ("select", "from", "where", "and", "or", "then"):
+                    raise Invalid("a constraint never ends")
+                else:
+                    self.i += 1
+            if self.i - n < 2:
+                raise Invalid("a constraint of one word")
+            return
+        self.name()
+        if self.word in ends or self.word in _COLUMN:
+            if self.d != "sqlite" and self.word not in ("as", "generated", "default", "set", "options"):
+                raise Invalid("a column without a type")
         else:
+            self.type_name(known=True)
+        while self.word not in ends:
+            if self.now in ("$", ";"):
+                raise Invalid("a column never ends")
+            if self.word not in _COLUMN:
+                raise Invalid(f"{self.word} is no constraint")
+            self.constraint()
+
+    def constraint(self) -> None:
+        """One constraint or property of a column."""
+        word = self.word
+        self.i += 1
+        if word == "character":
+            self.takes("set")
             self.name()
-            if self.now not in (",", ")"):
-                self.type_name()
-            elif self.d != "sqlite":
-                raise Invalid("a column without a type")
-        while self.now not in (",", ")"):
+        elif word in ("not", "on"):
+            return self.skip() if word == "not" else self.until_known()
+        if word == "default":
+            self.operand()
+        elif word == "references":
+            self.dotted()
             if self.now == "(":
                 self.brackets()
-            elif self.now in ("$", ";") or self.now in ("select", "from", "where", "and", "or", "then"):
-                raise Invalid("a column never ends")
-            else:
-                self.i += 1
+        elif word in ("check", "as", "using", "options", "identity", "autoincrement", "by"):
+            if self.now == "(":
+                self.brackets()
+        elif word in _COLUMN_NAMED:
+            if not self.take("s", "n"):
+                self.dotted()
+                if self.now == "(":
+                    self.brackets()
+        elif self.now == "(":
+            self.brackets()
+
+    def until_known(self) -> None:
+        """ON DELETE SET NULL and its like: words up to the next constraint or end."""
+        self.takes("delete", "update", "conflict", "null", "default")
+        self.takes("cascade", "restrict", "set", "no", "ignore", "replace", "abort", "fail", "rollback", "current_timestamp", "now")
+        self.takes("null", "default", "action")
+        if self.now == "(":
+            self.brackets()
 
     def routine(self) -> None:
         """CREATE FUNCTION, PROCEDURE or TRIGGER: a quoted body, or a block up to the end of the text."""
+        kind = self.now
         self.i += 1
+        at = self.i
+        self.if_exists()
+        self.dotted()
+        if self.now == "n" or self.word not in _ROUTINE[kind] and self.now not in ("(", "v", ";"):
+            raise Invalid("no head of a routine")
+        self.i = at
         rest = self.w[self.i : -1]
         if "s$" in rest:  # a dollar-quoted body
             if self.d not in ("postgresql", "redshift", "snowflake"):
@@ -1305,6 +1753,47 @@ class Parser:
             self.need("first", "last")
 
 
+# Kinds of objects that are dropped and altered.
+_KINDS = frozenset(
+    x.strip()
+    for x in """table, view, materialized view, index, schema, database, sequence, function, procedure, proc, trigger, user, role, login, type, domain, extension, package, package body, synonym, policy, rule, aggregate, operator,
+    operator class, operator family, cast, collation, conversion, server, foreign data wrapper, user mapping, event, event trigger, stage, stream, task, pipe, warehouse, file format, share, tablespace, profile, directory, database link,
+    credential, certificate, symmetric key, asymmetric key, master key, assembly, fulltext index, fulltext catalog, statistics, model, row access policy, masking policy, search index, vector index, table function, external function,
+    snapshot table, capacity, reservation, assignment, library, context, cluster, publication, subscription, text search configuration, transform, access method, language, tag, network policy, integration, storage integration,
+    resource monitor, application role, database role, partition function, partition scheme, security policy, service, queue, contract, group, datashare, identity provider, large object, routine, view log, materialized view log,
+    dynamic table, alert, secret, connection, availability group, endpoint, server audit, server role, default, rollback segment, dimension, outline, resource group, logfile group, instance, account, organization, project, bi_capacity""".split(",")
+)
+_DROP_TAIL = frozenset("cascade restrict constraints purge force including contents and datafiles keep online offline wait nowait validate".split())
+_TRUNCATE_TAIL = frozenset("restart continue identity cascade restrict drop reuse storage all preserve purge materialized view log with partition partitions".split())
+#: Words behind the name of a table that has no list of columns.
+_TABLE_TAIL = frozenset("as select with like clone using of on partition stored options cluster comment engine copy inherits tablespace diststyle distkey sortkey location for shallow deep external default".split())
+#: Words with which options of an account begin.
+_ACCOUNT = frozenset(
+    """with identified password login nologin superuser nosuperuser createdb nocreatedb createrole nocreaterole inherit noinherit replication noreplication bypassrls nobypassrls connection in role admin user valid
+    encrypted unencrypted default from for without profile quota account require sysid comment must_change_password not authorization nocreateuser createuser session syslog externalid temporary attribute container
+    enable disable group if local external collate""".split()
+)
+#: Words with which an action of ALTER TABLE begins.
+_ACTIONS = frozenset(
+    """add drop alter modify change rename set owner enable disable validate attach detach cluster inherit no reset convert engine auto_increment comment default order truncate exchange merge split move shrink switch rebuild with
+    check nocheck append swap replica force noforce read logging nologging cache nocache parallel noparallel compress nocompress discard import analyze coalesce reorganize optimize remove partition row_format checksum algorithm
+    lock character charset collate storage using without of not clone suspend resume recluster unset upgrade pctfree pctused initrans allocate deallocate monitoring nomonitoring rowdependencies result_cache flashback indexing max_rows min_rows key_block_size
+    first after deferred distkey encode""".split()
+)
+#: Words that a column's constraints and properties begin with.
+_COLUMN = frozenset(
+    """not null default primary key unique references check constraint collate generated always as identity auto_increment autoincrement comment on encode distkey sortkey virtual stored persisted using invisible visible options masking
+    policy tag storage compression sparse rowguidcol encrypted character charset unsigned signed zerofill binary ascii unicode match full partial simple deferrable initially deferred immediate enable disable novalidate validate rely norely
+    enforced hidden column_format by asc desc index clustered nonclustered with seed noorder order srid statistics set local global inherit sort enforce""".split()
+)
+_COLUMN_NAMED = frozenset("collate comment encode storage compression tag charset constraint column_format policy srid".split())
+#: Words behind the name of a routine or trigger.
+_ROUTINE = {
+    "function": frozenset("return returns as is begin language authid deterministic with external immutable volatile stable comment sql security aggregate pipelined result_cache parallel_enable options remote using".split()),
+    "procedure": frozenset("as is begin language authid deterministic with for returns comment sql security options external using select insert update delete set call declare if while return accessible not reads modifies contains no".split()),
+    "trigger": frozenset("before after instead on for compound follows precedes enable disable insert update delete when with of referencing".split()),
+}
+
 #: Words that begin a statement within a block, besides names.
 _STEPS = frozenset(
     """begin if while for loop repeat case select with values insert update delete merge replace create declare set return exec execute call
@@ -1312,7 +1801,7 @@ _STEPS = frozenset(
     rollback alter drop truncate grant revoke get""".split()
 )
 _NO_ALIAS = frozenset(
-    """qualify window fetch for returning conflict output option tablesample pivot unpivot natural limit offset connect
+    """against qualify window fetch for returning conflict output option tablesample pivot unpivot natural limit offset connect
     start minus apply lateral with partition over within filter collate asc desc nulls escape ilike rlike regexp glob similar
     isnull notnull use ignore sample do when default""".split()
 )
@@ -1332,14 +1821,25 @@ _CREATE: dict[str, tuple[str, ...]] = {
 }
 
 
-def valid(words: list[str], dialect: str) -> bool:
-    """Whether the shape is a script of the dialect; the empty shape is one."""
+#: Words whose statements are told by the spelling of names too, not by their shape alone.
+HEADS = frozenset("create alter drop truncate grant revoke".split())
+#: By dialect, words of queries that are keywords there and names elsewhere.
+MARKS = {d: ("grouping", "rollup", "cube") for d in ("postgresql", "oracle", "sqlite", "snowflake", "")} | {
+    "mysql": ("grouping", "rollup", "cube", "load"),
+    "tsql": ("grouping", "rollup", "cube", " xml", " json"),
+    "bigquery": ("grouping", "rollup", "cube", "|>"),
+    "redshift": ("grouping", "rollup", "cube", "approximate"),
+}
+
+
+def valid(words: list[str], dialect: str, names: list[str] | None = None) -> bool:
+    """Whether the shape is a script of the dialect; the empty shape is one. `names` has the same words as they are spelt."""
     limit = sys.getrecursionlimit()
     # A call of the parser takes no room on the machine's stack, only on the heap, and none goes on
     # without taking a word or two: so deep that no text meets the limit.
     sys.setrecursionlimit(max(limit, 2_000 + FRAMES_A_WORD * len(words)))
     try:
-        Parser(words, dialect).script()
+        Parser(words, dialect, names).script()
     except (Invalid, IndexError):
         return False
     finally:

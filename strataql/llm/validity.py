@@ -80,6 +80,10 @@ class _Classes(dict):
             return "s" if d in ("mysql", "bigquery") else "q"
         if c == "`":
             return "q" if d in BACKTICK else None
+        if token in ("#>", "#>>"):
+            return token
+        if c == ":" and d == "snowflake" and len(token) > 1 and token[1] != ":" and token[1] != "=":
+            return "p"
         if c == "[" and len(token) > 1:
             return "q"
         if d in DOLLAR_QUOTE and _DOLLAR_TAG.match(token):
@@ -110,16 +114,22 @@ def _is_valid(text: str, dialect: str) -> bool:
     classes = _classes[dialect]
     if dialect in NESTED_COMMENT and text.count("/*") > 1:
         text = without_comments(text, dialect)
-    words = [classes[m.group()] for m in _patterns[dialect].finditer(text)]
+    tokens = [m.group() for m in _patterns[dialect].finditer(text)]
+    words = [classes[t] for t in tokens]
     if None in words:
         return False
-    shape = " ".join(filter(None, words))
+    kept = [w for w in words if w]
+    # Where names may be keywords, their spelling is part of the shape.
+    low = text.lower()
+    spelt = not grammar.HEADS.isdisjoint(kept) or any(m in low for m in grammar.MARKS[dialect])
+    names = [w if w != "i" else t.lower() for t, w in zip(tokens, words) if w] if spelt else None
+    shape = " ".join(names or kept)
     key = (dialect, shape)
     verdict = _verdicts.get(key)
     if verdict is None:
         if len(_verdicts) > KEPT:
             _verdicts.clear()
-        verdict = _verdicts[key] = grammar.valid(shape.split(" ") if shape else [], dialect)
+        verdict = _verdicts[key] = grammar.valid(kept, dialect, names)
     return verdict
 
 
