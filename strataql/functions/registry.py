@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf, udtf
 
+from strataql.operators.findings import pattern_findings
 from strataql.operators.splitting import split, without_templates
 from strataql.rules.catalog import load_rules
 from strataql.rules.spec import Rule
@@ -52,11 +53,14 @@ class RuleRegistry:
         return sum(self.add(i, r) for i, r in getattr(module, "RULES", {}).items())
 
     def findings(self, prepared: DataFrame, key: str) -> DataFrame:
-        """key, rule_id, snippet of Column rules and text rules over prepared statements."""
+        """key, rule_id, snippet of pattern rules, Column rules and text rules over prepared statements."""
         out = None
+        if self.patterns:
+            out = pattern_findings(prepared, list(self.patterns.values()), [key]).select(key, "rule_id", "snippet")
         if self.columns:
             named = [F.when(F.coalesce(c(), F.lit(False)), F.lit(i)) for i, c in self.columns.items()]
-            out = prepared.select(key, F.explode(F.array_compact(F.array(*named))).alias("rule_id"), F.col("raw").alias("snippet"))
+            found = prepared.select(key, F.explode(F.array_compact(F.array(*named))).alias("rule_id"), F.col("raw").alias("snippet"))
+            out = found if out is None else out.unionByName(found)
         if self.texts:
             rules = dict(self.texts)
 

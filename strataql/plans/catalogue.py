@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataql.plans import issues, project, relational, rules, views
+from strataql.plans import examples, issues, project, relational, rules, views
 
-MODULES = [rules, issues, project, relational, views]
+MODULES = [rules, issues, project, relational, views, examples]
 
 FLAGSHIP = "findings_by_dimension"
 

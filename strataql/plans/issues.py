@@ -14,15 +14,19 @@ ENABLED, DISABLED = ["SEC-GRANTX", "PERF-PAGING", "QUAL-FORMAT-008"], ["SEC-GRAN
 
 
 def issues(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings once each (the latest delivery), with severity and rule id cleaned; unknown severities stay."""
+    """Findings once each, with severity and rule id cleaned; unknown severities stay.
+
+    Of several deliveries the latest counts, of those at one time the one whose line, column,
+    severity and rule sort last. The aggregation combines before its shuffle.
+    """
     rows = table(spark, folder, "issues")
-    latest = rows.withColumn("k", F.row_number().over(Window.partitionBy("issue_id").orderBy(F.desc("loaded_at")))).filter("k = 1").drop("k")
+    latest = rows.groupBy("issue_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "issue_id"]), F.struct("loaded_at", "line_no", "col_no", "severity", "rule_id")).alias("r")).select("issue_id", "r.*")
     return latest.withColumns({"severity": F.lower(F.trim("severity")), "rule_id": F.upper(F.trim("rule_id"))})
 
 
 ISSUES_SQL = """i AS (
   SELECT * REPLACE (lower(trim(severity)) AS severity, upper(trim(rule_id)) AS rule_id)
-  FROM issues QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY loaded_at DESC) = 1)"""
+  FROM issues QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY loaded_at DESC NULLS LAST, line_no DESC NULLS LAST, col_no DESC NULLS LAST, severity DESC NULLS LAST, rule_id DESC NULLS LAST) = 1)"""
 
 
 def contexts(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,6 +270,7 @@ def _html(c: str) -> str:
 
 
 _MESSAGE = "coalesce(message, '')"
+_LEVEL = "CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END"
 
 SQL = {
     "contexts": f"SELECT {filters.source_context_sql('file', 'raw')} AS context, count(*) AS n_statements FROM statements GROUP BY 1",
@@ -301,6 +306,10 @@ SELECT split_part(rule_id, '-', 1) AS family, count(*) AS n_findings FROM i LEFT
     "annotations": f"WITH {ISSUES_SQL} SELECT issue_id, sha256('::' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'notice' END || ' ' || CASE WHEN file IS NULL THEN '' ELSE 'file=' || {_escape('file', True)} || ',' END || 'line=' || line_no || ',col=' || col_no || '::' || rule_id || ' ' || {_escape(_MESSAGE, False)}) AS line_sha FROM i WHERE rule_id IS NOT NULL AND line_no IS NOT NULL AND col_no IS NOT NULL",
     "csv_lines": f"WITH {ISSUES_SQL} SELECT issue_id, sha256({' || chr(44) || '.join(_csv(c) for c in ('severity', 'rule_id', 'dimension', 'message', 'file', 'line_no', 'snippet'))}) AS line_sha FROM i".replace("|| CASE", "|| (CASE").replace("sha256(CASE", "sha256((CASE").replace(" END", " END)"),
     "html_rows": f"WITH {ISSUES_SQL} SELECT issue_id, sha256('<tr>' || {' || '.join(_html(c) for c in ('severity', 'rule_id', 'message', 'file', 'snippet'))} || '</tr>') AS row_sha FROM i",
+    "sarif_rules": f"""WITH {ISSUES_SQL}, f AS (SELECT rule_id, arg_min({{'m': message, 'l': {_LEVEL}}}, issue_id) AS f FROM i WHERE rule_id IS NOT NULL GROUP BY 1)
+SELECT rule_id, '{{"id":' || to_json(rule_id) || ',"shortDescription":{{' || coalesce('"text":' || to_json(f.m), '') || '}},"defaultConfiguration":{{"level":"' || f.l || '"}}}}' AS rule FROM f""",
+    "sarif_results": f"""WITH {ISSUES_SQL} SELECT issue_id, '{{' || CASE WHEN rule_id IS NULL THEN '' ELSE '"ruleId":' || to_json(rule_id) || ',' END || '"level":"' || {_LEVEL} || '","message":{{"text":' || to_json(coalesce(message, ''))
+  || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || to_json(coalesce(file, '<stdin>')) || '}},"region":{{"startLine":' || greatest(coalesce(line_no, 1), 1) || ',"startColumn":' || greatest(coalesce(col_no, 1), 1) || '}}}}}}]}}' AS result FROM i""",
     "orphan_rules": f"WITH {ISSUES_SQL} SELECT i.rule_id, count(*) AS n_findings FROM i WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE upper(trim(r.rule_id)) = i.rule_id) GROUP BY 1",
     "late_findings": f"WITH {ISSUES_SQL} SELECT date_diff('day', detected_at::DATE, loaded_at::DATE)::INT AS days_late, count(*) AS n_findings FROM i GROUP BY 1",
 }

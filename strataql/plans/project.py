@@ -149,7 +149,23 @@ _MASKED = r"trim(regexp_replace(regexp_replace(regexp_replace(raw, '''(?:[^'']|'
 _DEF = project.DEFINITION.removeprefix("(?i)")
 _BARE = r"""lower(trim(regexp_replace(regexp_extract(trim({0}, e' \t\r\n'), '("[^"]*"|`[^`]*`|\[[^\]]*\]|[^."`\[\]]+)\s*$', 1), '^["`\[]|["`\]]$', '', 'g'), e' \t\r\n'))"""
 
+#: Objects of CREATE TABLE and CREATE FUNCTION: plain lists of columns, as the statements table has them.
+_TYPE = "CASE " + " ".join(f"WHEN word = '{a}' THEN '{b}'" for a, b in schema.TYPES.items() if " " not in a) + " ELSE 'UNKNOWN' END"
+_OBJECTS = rf"""made AS (
+  SELECT repo_id::VARCHAR AS scope, stmt_id, regexp_extract(raw, '^(?:\s|--[^\n]*\n|/\*[\s\S]*?\*/)*create\s+table\s+["`\[]?(\w+)["`\]]?\s*\(([\s\S]*)\)', ['t', 'body'], 'i') AS m FROM statements WHERE raw IS NOT NULL),
+tables AS (SELECT scope, stmt_id, m.t AS t, m.body AS body FROM made WHERE m.t <> ''),
+last_made AS (SELECT * FROM tables QUALIFY row_number() OVER (PARTITION BY scope, t ORDER BY stmt_id DESC) = 1),
+items AS (SELECT scope, t, trim(unnest(string_split(regexp_replace(body, '\([^)]*\)', '', 'g'), ',')), e' \t\r\n') AS item FROM last_made),
+cols AS (SELECT DISTINCT scope, t, trim(regexp_extract(item, '^(\S+)', 1), '"`[]') AS name, upper(regexp_extract(item, '^\S+\s+(\w+)', 1)) AS word, NOT regexp_matches(item, 'not\s+null', 'i') AS nullable FROM items),
+routines AS (SELECT DISTINCT repo_id::VARCHAR AS scope, regexp_extract(raw, '^(?:\s|--[^\n]*\n|/\*[\s\S]*?\*/)*create\s+(?:or\s+replace\s+)?(?:function|procedure)\s+(\w+)', 1, 'i') AS t FROM statements WHERE raw IS NOT NULL)"""
+
 SQL = {
+    "schema_tables": f"""WITH {_OBJECTS}, o AS (
+  SELECT scope, 'table' AS kind, t, t AS name FROM last_made UNION ALL SELECT scope, 'column', t, name FROM cols UNION ALL SELECT scope, 'procedure', t, t FROM routines WHERE t <> '')
+SELECT scope, kind, count(*) AS n_objects, count(DISTINCT t) AS n_tables FROM o GROUP BY ALL""",
+    "schema_columns": f"WITH {_OBJECTS} SELECT {_TYPE} AS type, nullable, count(*) AS n_columns FROM cols GROUP BY ALL",
+    "missing_tables": f"""WITH {_OBJECTS}, u AS (SELECT DISTINCT repo_id::VARCHAR AS scope, stmt_id, lower(t) AS t FROM (SELECT repo_id, stmt_id, unnest(table_names) AS t FROM statements) WHERE t IS NOT NULL)
+SELECT scope, count(*) AS n_missing FROM u WHERE NOT EXISTS (SELECT 1 FROM last_made l WHERE l.scope = u.scope AND lower(l.t) = u.t) GROUP BY 1""",
     "dialects": f"SELECT {canonical_dialect_sql('dialect')} AS declared, {detect_dialect_sql('raw')} AS detected, count(*) AS n_statements FROM statements WHERE raw IS NOT NULL GROUP BY ALL",
     "statement_types": r"""WITH w AS (SELECT upper(regexp_extract(raw, '^(?:\s|--[^\n]*\n|/\*[\s\S]*?\*/)*([A-Za-z]+)', 1)) AS word FROM statements WHERE raw IS NOT NULL),
 k AS (SELECT CASE WHEN word = 'WITH' THEN 'SELECT' WHEN word = '' THEN NULL ELSE word END AS kind FROM w) SELECT kind, coalesce(kind IN ('CREATE', 'ALTER', 'DROP', 'TRUNCATE'), FALSE) AS ddl, count(*) AS n_statements FROM k GROUP BY ALL""",

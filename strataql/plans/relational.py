@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataql.operators.relational import as_of_join, interval_join
+from strataql.plans.views import LINKS_SQL, p1_hierarchy
 from strataql.sources.tables import table
 
 
@@ -43,8 +44,8 @@ def join_semi(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def join_anti(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts that no line has, by brand."""
-    p, l = table(spark, folder, "part"), table(spark, folder, "lineitem")
+    """Parts that no large returned line has, by brand."""
+    p, l = table(spark, folder, "part"), table(spark, folder, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 45")
     return p.join(l, p.p_partkey == l.l_partkey, "left_anti").groupBy("p_brand").agg(F.count("*").alias("n_parts"))
 
 
@@ -64,9 +65,7 @@ def join_as_of(spark: SparkSession, folder: str) -> DataFrame:
 
 def self_join(spark: SparkSession, folder: str) -> DataFrame:
     """Views and their parent views, by repository."""
-    from strataql.plans.views import p1_hierarchy
-
-    v = p1_hierarchy(spark, folder)
+    v = p1_hierarchy(spark, folder).select("repo_id", "view_name", "parent_name", "steps")
     parent = v.select("repo_id", F.col("view_name").alias("parent_name"), F.col("steps").alias("parent_steps"))
     return v.join(parent, ["repo_id", "parent_name"]).groupBy("repo_id").agg(F.count("*").alias("n_links"))
 
@@ -176,12 +175,13 @@ QUERIES = {
 }
 
 SQL = {
+    "rel_self_join": f"WITH {LINKS_SQL} SELECT repo_id, count(*) AS n_links FROM p GROUP BY 1",
     "rel_pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_price, round(avg(l_discount), 4) AS avg_discount, count(*) AS n_lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL",
     "rel_join_inner": "SELECT r_name, n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL",
     "rel_join_left": "WITH b AS (SELECT c_custkey, count(o_orderkey) AS n_orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1) SELECT n_orders, count(*) AS n_customers FROM b GROUP BY 1",
     "rel_join_full": "SELECT repo_id, coalesce(n_statements, 0) AS n_statements, coalesce(n_views, 0) AS n_views FROM (SELECT repo_id, count(*) AS n_statements FROM statements GROUP BY 1) FULL JOIN (SELECT repo_id, count(*) AS n_views FROM schema_views GROUP BY 1) USING (repo_id)",
     "rel_join_semi": "SELECT o_orderstatus, count(*) AS n_orders FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1",
-    "rel_join_anti": "SELECT p_brand, count(*) AS n_parts FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) GROUP BY 1",
+    "rel_join_anti": "SELECT p_brand, count(*) AS n_parts FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45) GROUP BY 1",
     "rel_join_range": "SELECT part, count(*) AS n_statements FROM statements JOIN (VALUES ('top', 1, 20), ('middle', 10, 120), ('rest', 120, 100000)) r(part, lo, hi) ON line_no >= lo AND line_no < hi GROUP BY 1",
     "rel_join_as_of": "SELECT e.event_id, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS bought_at, round(b.value, 4) AS bought_value FROM events e ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) b ON e.user_id = b.user_id AND e.ts >= b.ts",
     "rel_window_ranks": "SELECT o_orderkey, (row_number() OVER w)::INT AS rn, (rank() OVER w)::INT AS rk, (dense_rank() OVER w)::INT AS dr, (ntile(4) OVER w)::INT AS quartile, lag(o_orderkey) OVER w AS before, lead(o_orderkey) OVER w AS after, first_value(o_orderkey) OVER w AS top FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)",
