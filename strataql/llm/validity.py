@@ -104,7 +104,7 @@ class _Classes(dict):
 
 _classes: dict[str, _Classes] = {}
 _patterns: dict = {}
-_verdicts: dict[tuple[str, str], bool] = {}
+_verdicts: dict[tuple[str, str, str], bool] = {}
 
 
 def _is_valid(text: str, dialect: str) -> bool:
@@ -120,11 +120,12 @@ def _is_valid(text: str, dialect: str) -> bool:
         return False
     kept = [w for w in words if w]
     # Where names may be keywords, their spelling is part of the shape.
-    low = text.lower()
-    spelt = not grammar.HEADS.isdisjoint(kept) or any(m in low for m in grammar.MARKS[dialect])
+    spelt = not grammar.HEADS.isdisjoint(kept)
+    if not spelt and (dialect == "redshift" or "group" in kept or "for" in kept or kept and kept[0] in ("from", "i")):
+        low = text.lower()
+        spelt = any(m in low for m in grammar.MARKS[dialect])
     names = [w if w != "i" else t.lower() for t, w in zip(tokens, words) if w] if spelt else None
-    shape = " ".join(names or kept)
-    key = (dialect, shape)
+    key = (dialect, " ".join(kept), " ".join(names) if names else "")
     verdict = _verdicts.get(key)
     if verdict is None:
         if len(_verdicts) > KEPT:
