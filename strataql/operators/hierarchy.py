@@ -1,8 +1,8 @@
 """Parent-child links to full hierarchies by bottom-up leaf peeling.
 
-A node knows at most one parent. Each round peels all leaves, whose parents lose a child each, and
-takes out all chains (runs of nodes with one child left) by doubling their links, so that half of
-what is left goes in every round, however deep the forest. Walking the rounds backwards gives every
+A node knows at most one parent. A round peels all leaves, whose parents lose a child each, or
+takes out all chains (runs of nodes with one child left) by doubling their links, whichever are
+more, so that a quarter of what is left goes in every round, however deep the forest. Walking the rounds backwards gives every
 node its root and depth (and path), because what a node hung below goes after it. Nodes that are
 never peeled lie on a cycle; what hangs below a cycle is peeled, but its topmost ancestor is one of
 those residual nodes.
@@ -138,28 +138,29 @@ def peel(nodes: DataFrame, lists: bool) -> DataFrame:
     children = nodes.filter("parent IS NOT NULL").groupBy("scope", F.col("parent").alias("node")).agg(F.count("*").alias("pending"))
     via = F.array().cast("array<string>") if lists else _no_names()
     first = nodes.join(children, _KEY, "left").select(*_KEY, "parent", F.lit(1).alias("hops"), F.lit(None).cast("string").alias("low"), via.alias("via"), F.coalesce("pending", F.lit(0)).alias("pending"))
-    live = written(first, "live", n=F.count("*"))
+    is_chain = (F.col("pending") == 1) & F.col("parent").isNotNull()
+    tell = {"n": F.count("*"), "leaves": _count(F.col("pending") == 0), "chains": _count(is_chain)}
+    live = written(first, "live", **tell)
     undo = []  # what places a round's nodes, given those that went later
     known = None
     while live.counts["n"]:
-        leaves = live.filter("pending = 0")
-        undo.append((_placed, leaves))
-        gone = leaves.filter("parent IS NOT NULL").groupBy("scope", F.col("parent").alias("node")).agg(F.count("*").alias("gone"))
-        rest = live.filter("pending > 0").join(gone, _KEY, "left").withColumn("pending", F.col("pending") - F.coalesce("gone", F.lit(0))).drop("gone")
-        is_chain = (F.col("pending") == 1) & F.col("parent").isNotNull()
-        rest = written(rest, "live", n=F.count("*"), chain=_count(is_chain))
-        if not rest.counts["chain"]:
-            live = rest
+        # Leaves and chain nodes are at least half of what is left; the larger part of them goes.
+        if live.counts["leaves"] >= live.counts["chains"]:
+            leaves = live.filter("pending = 0")
+            undo.append((_placed, leaves))
+            gone = leaves.filter("parent IS NOT NULL").groupBy("scope", F.col("parent").alias("node")).agg(F.count("*").alias("gone"))
+            rest = live.filter("pending > 0").join(gone, _KEY, "left").withColumn("pending", F.col("pending") - F.coalesce("gone", F.lit(0))).drop("gone")
+            live = written(rest, "live", **tell)
             continue
-        jumps = _chains(rest.filter(is_chain), rest.counts["chain"])
+        jumps = _chains(live.filter(is_chain), live.counts["chains"])
         closed = jumps.filter("NOT open")
         if jumps.counts["n"]:
             ring = _rings(jumps.filter("open"))
             known = ring if known is None else known.unionByName(ring)
         past = closed.select("scope", F.col("node").alias("parent"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("low").alias("low2"), F.col("via").alias("via2"), F.col("top").alias("top2"))
-        linked = rest.filter(~is_chain).join(past, ["scope", "parent"], "left")
+        linked = live.filter(~is_chain).join(past, ["scope", "parent"], "left")
         met = F.col("up2").isNotNull()
-        live = written(
+        rest = written(
             linked.select(
                 *_KEY,
                 F.coalesce("up2", "parent").alias("parent"),
@@ -170,13 +171,13 @@ def peel(nodes: DataFrame, lists: bool) -> DataFrame:
                 "top2",
             ),
             "live",
-            n=F.count("*"),
+            **tell,
         )
-        bottoms = live.filter("top2 IS NOT NULL").select("scope", F.col("top2").alias("top"), F.col("node").alias("bottom"))
-        counts, live = live.counts, live.drop("top2")
-        live.counts = counts
+        bottoms = rest.filter("top2 IS NOT NULL").select("scope", F.col("top2").alias("top"), F.col("node").alias("bottom"))
         records = closed.select(*_KEY, F.col("up").alias("parent"), F.col("far").alias("hops"), "via", "top")
         undo.append((lambda c, k, b=bottoms: _place_chains(c, b, k), records))
+        live = rest.drop("top2")
+        live.counts = rest.counts
     if known is None:
         known = nodes.limit(0).select(*_KEY, F.lit(None).cast("string").alias("root"), F.lit(0).alias("depth"), _no_names().alias("path"))
     # The rounds that went last are the smallest, so all reads together are a small multiple of the nodes.
