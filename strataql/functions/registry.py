@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
@@ -13,8 +14,8 @@ from pyspark.sql.functions import pandas_udf, udtf
 
 from strataql.operators.findings import pattern_findings
 from strataql.operators.splitting import split, without_templates
-from strataql.rules.catalog import load_rules
-from strataql.rules.spec import Rule
+from strataql.rules.catalog import all_rules, load_rules
+from strataql.rules.spec import PATTERN, Rule
 
 #: Own rules by id: a Column condition over prepared statements, or a function from text to snippets.
 ColumnRule = Callable[[], Column]
@@ -74,6 +75,66 @@ class RuleRegistry:
         return prepared.select(key, F.lit("").alias("rule_id"), F.col("raw").alias("snippet")).limit(0) if out is None else out
 
 
+@dataclass(frozen=True)
+class Analyzer:
+    """A named part of an analysis: prepared statements and the columns to carry, to findings with rule_id."""
+
+    name: str
+    dimension: str
+    run: Callable[[DataFrame, list[str]], DataFrame]
+    priority: int = 100
+    enabled: bool = True
+
+
+class AnalyzerRegistry:
+    """Analyzers by name, run in order of priority, then name."""
+
+    def __init__(self) -> None:
+        self._by_name: dict[str, Analyzer] = {}
+
+    def __len__(self) -> int:
+        return len(self._by_name)
+
+    def __contains__(self, name: str) -> bool:
+        return name in self._by_name
+
+    def register(self, analyzer: Analyzer, override: bool = False) -> None:
+        """Add an analyzer; a name that is taken is an error unless it is to be replaced."""
+        if analyzer.name in self and not override:
+            raise ValueError(f"{analyzer.name} is registered already")
+        self._by_name[analyzer.name] = analyzer
+
+    def unregister(self, name: str) -> Analyzer | None:
+        return self._by_name.pop(name, None)
+
+    def get(self, name: str) -> Analyzer | None:
+        return self._by_name.get(name)
+
+    def all(self, dimension: str | None = None, enabled_only: bool = False) -> list[Analyzer]:
+        chosen = (a for a in self._by_name.values() if dimension in (None, a.dimension) and (a.enabled or not enabled_only))
+        return sorted(chosen, key=lambda a: (a.priority, a.name))
+
+    def findings(self, prepared: DataFrame, carry: list[str]) -> DataFrame | None:
+        """Carried columns, rule_id, analyzer of all enabled analyzers' findings; None without any."""
+        out = None
+        for a in self.all(enabled_only=True):
+            one = a.run(prepared, carry).select(*carry, "rule_id", F.lit(a.name).alias("analyzer"))
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def stats(self) -> dict[str, int]:
+        return {"analyzers": len(self), "enabled": len(self.all(enabled_only=True)), "dimensions": len({a.dimension for a in self._by_name.values()})}
+
+
+def builtin_analyzers() -> AnalyzerRegistry:
+    """One analyzer a dimension, over the catalogue's patterns of it."""
+    found = AnalyzerRegistry()
+    for at, dimension in enumerate(("security", "performance", "reliability", "compliance", "quality", "cost")):
+        rules = [r for r in all_rules() if r.kind == PATTERN and r.dimension == dimension]
+        found.register(Analyzer(dimension, dimension, lambda df, carry, rules=rules: pattern_findings(df, rules, carry), 10 * (at + 1)))
+    return found
+
+
 class _SplitSql:
     """Table function: the statements of a script."""
 

@@ -1,10 +1,12 @@
 import re
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from strataql.functions.dialects import canonical_dialect, detect_dialect
+from strataql.functions.registry import Analyzer, AnalyzerRegistry, builtin_analyzers
 from strataql.operators.findings import pattern_findings, prepare, with_rule_columns
 from strataql.operators.structure import frames
 from strataql.plans import corpus
@@ -67,3 +69,17 @@ def test_custom_rules_and_dialects(spark):
     votes = spark.createDataFrame([("SELECT a::int",), ("SELECT [a]",), ("SELECT `a`",), ("SELECT 1",), ("`p`.`q`",)], "t string").select(detect_dialect(F.col("t")).alias("d"))
     assert [r.d for r in votes.collect()] == ["postgresql", "tsql", "mysql", None, "bigquery"]
     assert pattern_findings(prepare(df), [], ["stmt_id"]).collect() == [] and pattern_findings(prepare(df.limit(0)), rules, ["stmt_id"]).collect() == []
+
+
+def test_analyzers(spark):
+    found = builtin_analyzers()
+    assert [a.name for a in found.all()][:2] == ["security", "performance"] and len(found) == 6 and "cost" in found
+    with pytest.raises(ValueError):
+        found.register(found.get("cost"))
+    found.register(replace(found.get("cost"), enabled=False), override=True)
+    found.register(Analyzer("own", "quality", lambda df, carry: df.filter(F.col("raw_upper").contains("ODD")).withColumn("rule_id", F.lit("OWN-1")), priority=1))
+    assert [a.name for a in found.all("quality")] == ["own", "quality"] and found.stats() == {"analyzers": 7, "enabled": 6, "dimensions": 6}
+    ready = prepare(spark.createDataFrame([(1, "SELECT odd FROM t WHERE x = NULL", None)], "stmt_id long, raw string, dialect string"))
+    got = {(r.rule_id, r.analyzer) for r in found.findings(ready, ["stmt_id"]).collect()}
+    assert {("OWN-1", "own"), ("QUAL-NULL-001", "quality")} <= got and not any(a == "cost" for _, a in got)
+    assert found.unregister("own").name == "own" and found.get("own") is None and AnalyzerRegistry().findings(ready, ["stmt_id"]) is None
